@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def text_slices(
         if not batch.num_rows:
             continue
         k = batch.schema.get_field_index(column)
-        lengths = pa.compute.binary_length(batch.column(k)).to_pylist()
+        lengths = pc.binary_length(batch.column(k)).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
             size += n or 0
