@@ -56,3 +56,21 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's shared checkpoint folder, its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        where = sc.getConf().get("spark.checkpoint.dir", None)
+        if where is None:  # a local session, as in tests
+            import tempfile
+
+            where = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        sc.setCheckpointDir(where)
+    return df.checkpoint()
