@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, simhash, urls
+from . import ann, bpe, chat, decontaminate, simhash, urls
 from .common import read_table
 
 
@@ -44,12 +44,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, word_bpe_path()))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_chat": op4_chat,
     "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {}
