@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, simhash, urls
-from .common import read_table
+from . import ann, bpe, chat, decontaminate, langid, licenses, simhash, urls
+from .common import fold, read_table
 
 
 def word_bpe_path() -> str:
@@ -18,6 +18,10 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.classes(read_table(spark, sf_dir, "documents")))
 
@@ -44,16 +48,24 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, word_bpe_path()))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identify(docs, fold(F.col("doc_id"), 4) != 2)
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_chat": op4_chat,
     "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
+    "op9_langid": op9_langid,
     "op10_ann": op10_ann,
 }
 
