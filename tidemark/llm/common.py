@@ -74,3 +74,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
             where = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         sc.setCheckpointDir(where)
     return df.checkpoint()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, max_chars: int) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``per_class`` rows of either class, where ``train`` holds of the document id.  Rows
+    come by their id's hash, so the choice is the same on every run.  Texts of more than ``max_chars`` are not used
+    for learning, which bounds what the driver holds."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(train & F.col("label").isin(0, 1)).distinct()
+    order = F.xxhash64("doc_id")
+    picked = known.where("label = 0").orderBy(order, "doc_id").limit(per_class).union(known.where("label = 1").orderBy(order, "doc_id").limit(per_class))
+    fits = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    rows = fits.join(F.broadcast(picked), "doc_id").toArrow()  # bounded: twice per_class rows
+    by = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["text"].to_pylist()))
+    return [t for _, _, t in by], [y for _, y, _ in by]
