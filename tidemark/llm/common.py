@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of the license and decontamination contracts: runs of anything but ASCII non-alphanumerics.
 WORD_PATTERN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -87,3 +88,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     rows = fits.join(F.broadcast(picked), "doc_id").toArrow()  # bounded: twice per_class rows
     by = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["text"].to_pylist()))
     return [t for _, _, t in by], [y for _, y, _ in by]
+
+
+def appended(docs: DataFrame, text_col: str, name: str, values) -> DataFrame:
+    """``docs`` with a double column ``name``, which no column of ``docs`` may have: ``values(texts)`` of bounded slices."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, text_col, max_bytes=2 << 20):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values(texts), pa.float64())], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, schema)

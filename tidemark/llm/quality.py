@@ -16,15 +16,11 @@ other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import labelled_sample, text_slices
+from .common import appended, labelled_sample
 from .nets import Adam, class_weights, sigmoid
 
 BLOCK = 128
@@ -157,15 +153,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     return fit(*labelled_sample(docs, labels, "quality", train, PER_CLASS, MAX_CHARS))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, score)`` for every row."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the column ``name``, which it mustn't have."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, text_col, max_bytes=1 << 20):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.scores(texts), pa.float64())], names=[id_col, "score"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())]))
+    return appended(docs, text_col, name, lambda texts: held.value.scores(texts))
 
 
 def predicted(threshold: float = 0.3) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, langid, licenses, quality, simhash, urls
+from . import ann, bpe, chat, decontaminate, langid, licenses, quality, simhash, toxicity, urls
 from .common import fold, read_table
 
 
@@ -52,7 +52,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
     model = quality.learn(docs, read_table(spark, sf_dir, "labels"), ~held_out)
-    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", quality.predicted().alias("predicted"))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", quality.predicted().alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", toxicity.predicted().alias("predicted"))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
     "op10_ann": op10_ann,
 }
