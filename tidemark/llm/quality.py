@@ -31,6 +31,8 @@ LAGS = range(2, 33)
 PER_CLASS = 1_500
 MAX_CHARS = 30_000
 EPOCHS = 7
+#: Updates at least, in samples so small that the epochs hold fewer.
+UPDATES = 250
 _PIECE = 1 << 20
 
 
@@ -139,7 +141,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return Model(None, (y.sum() + 0.5) / (len(y) + 1))
     network, docs = Network(), [t.encode() for t in texts]
     adam, rng, weight = Adam(network.p, 0.01), np.random.default_rng(5), class_weights(y)
-    rounds = max(EPOCHS, 2_000 * EPOCHS // (10 * len(docs)))
+    rounds = max(EPOCHS, -(-UPDATES // -(-len(docs) // 32)))
     for epoch in range(rounds):
         order = rng.permutation(len(docs))
         adam.rate = 0.01 * (1 - 0.9 * epoch / rounds)

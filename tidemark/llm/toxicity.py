@@ -33,6 +33,8 @@ HIDDEN = 10
 PER_CLASS = 1_500
 MAX_CHARS = 30_000
 EPOCHS = 4
+#: Updates at least, in samples so small that the epochs hold fewer.
+UPDATES = 250
 #: Words remembered in a worker, and windows computed at once.
 _MEMORY = 200_000
 _GROUP = 2_048
@@ -234,7 +236,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     share = (held + 1) / (np.array([[(y == 0).sum()], [(y == 1).sum()]]) + 2)
     network.p["e"][:, 0] = np.clip(np.log(share[1] / share[0]) * (held.sum(axis=0) >= 4), -2, 4) / 2
     adam, rng, weight = Adam(network.p, 0.01), np.random.default_rng(13), class_weights(y)
-    rounds = max(EPOCHS, 1_500 * EPOCHS // (5 * len(docs)))
+    rounds = max(EPOCHS, -(-UPDATES // -(-len(docs) // 32)))
     model = Model(network)
     for epoch in range(rounds):
         adam.rate = 0.01 * (1 - 0.9 * epoch / rounds)
