@@ -70,7 +70,7 @@ def test_ordered_reads(spark):
     assert key(scan.after(rows, "apple")) == ["banana"] and key(scan.before(rows, "apple")) == []
     assert key(scan.bounded(rows, "b", 2)) == ["banana", "cherry"]
     assert key(scan.in_order(rows)) == ["apple", "banana", "cherry", "date"]
-    got = sorted(tuple(r) for r in scan.neighbours(rows, 3).collect())
+    got = sorted(tuple(r) for r in scan.neighbours(rows).collect())
     assert got == [("apple", None, "banana"), ("banana", "apple", "cherry"), ("cherry", "banana", "date"), ("date", "cherry", None)]
 
 
@@ -204,7 +204,7 @@ def test_generations_are_cut_by_bytes(spark):
     for k, s, _, v in rows:
         want[s] = total // 1000
         total += len(k) + len(v) + 97
-    got = {r["seq"]: r["generation"] for r in generations.generations(log(spark, *rows), 1000, stretch=64).collect()}
+    got = {r["seq"]: r["generation"] for r in generations.generations(log(spark, *rows), 1000, stretch=8).collect()}
     assert got == want
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DELETION, VALUE
+from ..sources.files import checkpointed
 
 
 def puts(rows: DataFrame) -> DataFrame:
@@ -19,15 +20,12 @@ def deletions(rows: DataFrame, like: DataFrame | None = None) -> DataFrame:
     return rows.select("key", "seq", F.lit(DELETION).cast("tinyint").alias("type"), F.lit("").cast(kind).alias("value"))
 
 
-def numbered(rows: DataFrame, base: int, *order: Column | str, cut=None) -> DataFrame:
+def numbered(rows: DataFrame, base: int, *order: Column | str) -> DataFrame:
     """``rows`` with ``seq`` from ``base`` + 1 on, in ``order``.  Rows are dealt out by range and sorted; only the number
-    of rows in each part reaches the driver.  ``cut`` materialises the sorted rows, so that both passes see the
-    same; by default it is a checkpoint."""
-    if cut is None:
-        from ..sources.files import checkpointed as cut
+    of rows in each part reaches the driver.  The sorted rows are checkpointed, so that both passes see the same."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = cut(dealt.withColumn("_id", F.monotonically_increasing_id()))
+    placed = checkpointed(dealt.withColumn("_id", F.monotonically_increasing_id()))
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect())
     starts, total = [], base + 1

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import in_prefix
+from .ordered import dealt_by_range
 
 
 def between(rows: DataFrame, low=None, high=None) -> DataFrame:
@@ -59,11 +60,10 @@ def totals(rows: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(rows: DataFrame, parts: int | None = None) -> DataFrame:
+def neighbours(rows: DataFrame) -> DataFrame:
     """Every key with the keys before and after it.  Keys are dealt out by range, neighbours come from within a part,
     and only each part's first and last key meet in one place; no task sees all keys."""
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key").repartitionByRange(n, "key").withColumn("_part", F.spark_partition_id())
+    dealt = dealt_by_range(rows.select("key"), "key")
     own = Window.partitionBy("_part").orderBy("key")
     near = dealt.select("key", "_part", F.lag("key").over(own).alias("previous_key"), F.lead("key").over(own).alias("next_key"))
     edges = near.groupBy("_part").agg(F.min("key").alias("low"), F.max("key").alias("high"))

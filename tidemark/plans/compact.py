@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import sum_before
 from ..operators.resolve import newest
 from ..schema import DELETION, LEVELS
 from .manifest import FileMeta, Version
@@ -81,14 +82,7 @@ def split(rows: DataFrame, total_bytes: int, max_file_size: int) -> DataFrame:
 
 
 def output_numbers(rows: DataFrame, budget: int, overhead: int = 97) -> DataFrame:
-    """``rows`` with ``output``, the number of the file that each row of a sorted run goes to by size.  Sizes are summed by
-    the first bytes of keys before they meet, so no task sees all rows."""
-    from pyspark.sql import Window
-
+    """``rows`` with ``output``, the number of the file that each row of a sorted run goes to by size."""
     sized = rows.withColumn("bytes", (F.octet_length("key") + F.octet_length("value") + F.lit(overhead)).cast("long"))
-    sized = sized.withColumn("_head", F.substring("key", 1, 9))
-    sums = sized.groupBy("_head").agg(F.sum("bytes").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum("bytes").over(Window.partitionBy("_head").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sized.withColumn("_inside", inside).join(sums.select("_head", before.alias("_before")), "_head")
-    return placed.withColumn("output", F.floor((F.col("_before") + F.col("_inside")) / F.lit(float(budget))).cast("long")).drop("_head", "_inside", "_before")
+    placed = sum_before(sized, "bytes", "_before_it", "key")
+    return placed.withColumn("output", F.floor(F.col("_before_it") / F.lit(float(budget))).cast("long")).drop("_before_it")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import sum_before_numbered
+
 #: Bytes of an entry besides key and value (a documented assumption; only the cuts depend on it).
 OVERHEAD = 97
 
@@ -14,19 +16,10 @@ def with_bytes(log: DataFrame, overhead: int = OVERHEAD) -> DataFrame:
 
 
 def generations(log: DataFrame, budget: int = 65_536, overhead: int = OVERHEAD, stretch: int = 4096) -> DataFrame:
-    """``log`` with ``generation``: bytes before the row, in seq order, over the budget.
-
-    A running sum over all rows would be one task's.  Rows are summed by stretches of ``stretch`` sequence numbers
-    first; the running sum over stretches has a row for each, and the one inside a stretch at most ``stretch`` rows.
-    Cuts stand where a sum without resets puts them, up to a row away from those of a buffer that starts anew.
-    """
-    sized = with_bytes(log, overhead).withColumn("_stretch", F.floor(F.col("seq") / stretch))
-    sums = sized.groupBy("_stretch").agg(F.sum("bytes").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("_stretch", before.alias("_before"))
-    inside = F.coalesce(F.sum("bytes").over(Window.partitionBy("_stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sized.withColumn("_inside", inside).join(starts, "_stretch")
-    return placed.withColumn("generation", F.floor((F.col("_before") + F.col("_inside")) / F.lit(float(budget))).cast("long")).drop("_stretch", "_inside", "_before")
+    """``log`` with ``generation``: bytes before the row, in seq order, over the budget.  Cuts stand where a sum without
+    resets puts them, up to a row away from those of a buffer that starts anew."""
+    placed = sum_before_numbered(with_bytes(log, overhead), "bytes", "_before_it", "seq", stretch)
+    return placed.withColumn("generation", F.floor(F.col("_before_it") / F.lit(float(budget))).cast("long")).drop("_before_it")
 
 
 def file_meta(log: DataFrame, budget: int = 65_536) -> DataFrame:
