@@ -38,8 +38,6 @@ SEED = 42
 FAN = 16
 #: Nodes of a bucket that one task searches; larger buckets are cut into parts of this size.
 HOT = 20_000
-#: Buckets up to this size are compared by shifting sorted rows against themselves.
-_PLAIN = 48
 _PAIRS = 1 << 18
 
 
@@ -93,43 +91,43 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchy over codes in Gray order.  Level 0 are the codes; a node above has, for its run of ``FAN``, the bits that
-    all codes below share (``mask``) and their values (``bits``)."""
+    """Hierarchy over the codes of buckets, in Gray order within each.  Level 0 are the codes; a node above has, for its run
+    of ``FAN``, the bits that all codes below share (``mask``), their values (``bits``) and the buckets it spans."""
 
-    def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
-        everything = np.full(len(codes), ~np.uint64(0), np.uint64)
-        self.levels = [(everything, codes[self.order])]
+    def __init__(self, codes: np.ndarray, buckets: np.ndarray):
+        self.order = np.lexsort((gray_rank(codes), buckets))
+        everything, of = np.full(len(codes), ~np.uint64(0), np.uint64), buckets[self.order]
+        self.levels = [(everything, codes[self.order], of, of)]
         while len(self.levels[-1][0]) > 1:
-            mask, bits = self.levels[-1]
+            mask, bits, first, last = self.levels[-1]
             at = np.arange(0, len(mask), FAN)
             every, some = np.bitwise_and.reduceat(bits & mask, at), np.bitwise_or.reduceat(bits & mask, at)
             shared = np.bitwise_and.reduceat(mask, at) & ~(every ^ some)
-            self.levels.append((shared, every & shared))
+            self.levels.append((shared, every & shared, first[at], last[np.minimum(at + FAN, len(mask)) - 1]))
 
     def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of pairs of places, first below second, whose codes differ in at most ``radius`` bits."""
-        top = len(self.levels) - 1
-        stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        """Blocks of pairs of places in one bucket whose codes differ in at most ``radius`` bits."""
+        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         step = np.arange(FAN)
+        per = max(1, _PAIRS // (FAN * FAN))
         while stack:
             level, a, b = stack.pop()
             if level == 0:
                 keep = a < b
-                a, b = a[keep], b[keep]
-                if len(a):
-                    yield self.order[a], self.order[b]
+                if keep.any():
+                    yield self.order[a[keep]], self.order[b[keep]]
                 continue
-            mask, bits = self.levels[level - 1]
-            per = max(1, _PAIRS // (FAN * FAN))
             if len(a) > per:
                 stack.extend((level, a[k : k + per], b[k : k + per]) for k in range(0, len(a), per))
                 continue
+            mask, bits, first, last = self.levels[level - 1]
             x = (a[:, None, None] * FAN + step[None, :, None] + 0 * step[None, None, :]).ravel()
             y = (b[:, None, None] * FAN + step[None, None, :] + 0 * step[None, :, None]).ravel()
-            keep = (x <= y) & (y < len(mask)) & (x < len(mask))
+            keep = (x <= y) & (y < len(mask))
             x, y = x[keep], y[keep]
-            # Differences on bits that both nodes share hold for every code below: prune whole groups.
+            # No bucket in common, or too many differences on bits that both nodes share: prune the groups whole.
+            near = first[y] <= last[x]
+            x, y = x[near], y[near]
             near = np.bitwise_count((bits[x] ^ bits[y]) & mask[x] & mask[y]) <= radius
             if near.any():
                 stack.append((level - 1, x[near], y[near]))
@@ -163,20 +161,9 @@ def bucket_links(keys: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.n
     """Spanning links (member, root) of the rows of each key; rows of a key stand together."""
     n = len(keys)
     forest = Forest(n)
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sizes = np.diff(np.append(starts, n))
-    small = np.repeat(np.where(sizes <= _PLAIN, sizes, 0), sizes)
-    place = np.arange(n) - np.repeat(starts, sizes)
-    live = np.flatnonzero(small > 1)
-    for d in range(1, int(small.max(initial=0))):
-        live = live[place[live] + d < small[live]]
-        if not len(live):
-            break
-        near = live[np.bitwise_count(codes[live] ^ codes[live + d]) <= radius]
-        forest.join(near, near + d)
-    for s, size in zip(starts[sizes > _PLAIN].tolist(), sizes[sizes > _PLAIN].tolist()):
-        for a, b in GrayIndex(codes[s : s + size]).pairs(radius):
-            forest.join(a + s, b + s)
+    if n:
+        for a, b in GrayIndex(codes, keys).pairs(radius):
+            forest.join(a, b)
     linked = np.flatnonzero(forest.root != np.arange(n))
     return linked, forest.root[linked]
 
@@ -185,9 +172,10 @@ def bucket_links(keys: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.n
 
 
 def block_count(nodes: int, radius: int) -> int:
-    """Bit blocks so that buckets of unrelated fingerprints hold few nodes: the keys' bits grow with the nodes."""
+    """Bit blocks so that buckets of unrelated fingerprints hold at most some 256 nodes: a row more to shuffle costs as much
+    as some hundred comparisons.  5 blocks up to 2**20 nodes, 6 up to 2**29, 7 up to 2**35, then 8."""
     blocks = radius + 1
-    while blocks < 2 * radius and (64 * (blocks - radius)) // blocks < np.log2(max(nodes, 1)) - 4:
+    while blocks < 2 * radius and (64 * (blocks - radius)) // blocks < np.log2(max(nodes, 1)) - 8:
         blocks += 1
     return blocks
 
