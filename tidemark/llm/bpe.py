@@ -228,7 +228,10 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._pieces = regex.compile(split["pattern"]["Regex"].replace("\\s", _SPACE)).findall
+        pattern = split["pattern"]["Regex"].replace("\\s", _SPACE)
+        for name in "LN":  # as of the interpreter's Unicode tables, which are nearer to the library's than those of regex
+            pattern = pattern.replace(f"\\p{{{name}}}", _category(name))
+        self._pieces = regex.compile(pattern).findall
         self._space = regex.compile(f"[{_SPACE}]+").split
         self._symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
         self.text = self.table.text | {i: t for t, i in self.special.items()}
@@ -297,6 +300,19 @@ class WordBpe:
         return "".join(map(machine.push, numbers)) + machine.finish()
 
 
+def _category(first: str) -> str:
+    """Members of a character class: code points whose category begins with ``first``."""
+    out, start = [], None
+    for cp in range(0x110001):
+        inside = cp < 0x110000 and unicodedata.category(chr(cp))[0] == first
+        if inside and start is None:
+            start = cp
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{cp - 1:08x}")
+            start = None
+    return "".join(out)
+
+
 class ByteDecoder:
     """Incremental byte-to-text machine for byte-level vocabularies: bytes of an incomplete character wait."""
 
