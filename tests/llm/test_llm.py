@@ -264,7 +264,8 @@ def plain_hits(text, items, span=8):
                 if w[a : a + m] == v[k : k + m]:
                     hit |= set(range(a, a + m))
                     found.add(i)
-    return len(w), len(hit), sorted(found)
+    runs = "".join("x" if k in hit else " " for k in range(len(w))).split()
+    return len(w), len(hit), sorted(found), max(map(len, runs), default=0)
 
 
 @pytest.mark.parametrize("limit", [500_000, 0])
@@ -279,9 +280,9 @@ def test_decontamination(spark, monkeypatch, limit):
     got = by_id(decontaminate.report(decontaminate.hits(docs, bench)))
     assert sum(map(len, got.values())) == len(texts)
     for i, t in texts:
-        n, hit, found = plain_hits(t, [x for x in items if x[0] is not None])
+        n, hit, found, run = plain_hits(t, [x for x in items if x[0] is not None])
         r = got[i][0]
-        assert (r.n_words, r.n_hit, r.n_items) == (n, hit, len(found)), (i, t)
+        assert (r.n_words, r.n_hit, r.n_items, r.longest_span) == (n, hit, len(found), run), (i, t)
         assert r.items_sha256 == sha(",".join(sorted(map(str, found)))) and r.contaminated == (len(found) >= 2)
 
 
@@ -510,7 +511,9 @@ def test_pipeline_stages(spark, tmp_path):
     good = sentences(rng, 60)
     passage = [f"alpha beta gamma delta epsilon zeta eta theta iota kappa {k}" for k in "ab"]
     texts = dict(enumerate(good)) | {100 + k: t.upper().replace(" ", "!! ") for k, t in enumerate(good)} | {200 + k: t + " idiot moron " + t for k, t in enumerate(good)}
-    texts |= {300: good[0], 301: good[1], 302: " ".join(passage) + " " + good[2], 303: None, 304: ""}
+    texts |= {300: good[0], 301: good[1], 302: " ".join(passage) + " " + good[2], 303: None, 304: "", 305: good[3] + " one two three four five six seven eight nine ten eleven twelve thirteen fourteen " + good[4]}
+    texts |= {306: good[5] + " one two three four five six seven eight " + good[6]}
+    passage.append("one two three four five six seven eight nine ten eleven twelve thirteen fourteen")
     rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, p) for k, p in enumerate(passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -528,7 +531,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert not any(200 <= i < 260 for i in kept["toxicity"])
     prints = [(i, plain_fingerprint(texts[i])) for i in sorted(kept["toxicity"])]
     assert kept["near_dedup"] == set(plain_classes(prints))
-    assert kept["decontaminate"] == kept["near_dedup"] - {302} and kept["bpe"] == kept["decontaminate"]
+    assert kept["decontaminate"] == kept["near_dedup"] - {302, 305} and 306 in kept["bpe"] and kept["bpe"] == kept["decontaminate"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept["bpe"]
 
 

@@ -131,6 +131,17 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, start, add, lambda acc: acc["n"])
 
 
+def longest(spans: Column) -> Column:
+    """Words of the longest unbroken run in the union of sorted spans."""
+    start = F.struct(F.lit(0).alias("begin"), F.lit(0).alias("end"), F.lit(0).alias("most"))
+
+    def add(acc: Column, s: Column) -> Column:
+        begin, end = F.when(s["begin"] <= acc["end"], acc["begin"]).otherwise(s["begin"]), F.greatest(acc["end"], s["end"])
+        return F.struct(begin.alias("begin"), end.alias("end"), F.greatest(acc["most"], end - begin).alias("most"))
+
+    return F.aggregate(spans, start, add, lambda acc: acc["most"])
+
+
 def report(found: DataFrame, least_items: int = 2) -> DataFrame:
     """The contract's columns of what :func:`hits` returns."""
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -141,4 +152,5 @@ def report(found: DataFrame, least_items: int = 2) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(names.cast("binary"), 256).alias("items_sha256"),
         (F.size("items") >= least_items).alias("contaminated"),
+        longest(F.col("spans")).cast("long").alias("longest_span"),
     )

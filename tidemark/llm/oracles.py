@@ -28,10 +28,12 @@ l as (select distinct n from bw),
 dw as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as win from (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as i from d, l where len(w) >= n) x),
 h as (select doc_id, dw.n, i, item_id from dw join bw on dw.n = bw.n and dw.win = bw.win),
 p as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + n)) as place from h) x group by doc_id),
+r as (select doc_id, max(n) as longest from (select doc_id, run, count(*) as n from (select doc_id, place - row_number() over (partition by doc_id order by place) as run
+  from (select distinct doc_id, unnest(range(i, i + n)) as place from h) x) y group by doc_id, run) z group by doc_id),
 t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) x group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-  sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
-from d left join p on p.doc_id = d.doc_id left join t on t.doc_id = d.doc_id
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated, coalesce(longest, 0) as longest_span
+from d left join r on r.doc_id = d.doc_id left join p on p.doc_id = d.doc_id left join t on t.doc_id = d.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {"op4_chat": OP4, "op5_decontaminate": OP5}
