@@ -208,6 +208,13 @@ def test_generations_are_cut_by_bytes(spark):
     assert got == want
 
 
+def test_files_that_stand_alone():
+    files = [meta(1, 1, "a", "c"), meta(1, 2, "d", "f"), meta(2, 3, "e", "g"), meta(1, 4, "h", "i"), meta(0, 5, "k", "l"), meta(2, 6, "m", "m"), meta(3, 7, "m", "n")]
+    alone, rest = manifest.apart(files)
+    assert [f.number for f in alone] == [1, 4] and sorted(f.number for f in rest) == [2, 3, 5, 6, 7]
+    assert manifest.apart([]) == ([], [])
+
+
 def test_prune_and_overlap(spark):
     files = spark.createDataFrame([(0, 1, "a", "f"), (0, 2, "g", "k"), (1, 3, "f", "g")], "level long, number long, smallest_key string, largest_key string")
     number = lambda df: sorted(r["number"] for r in df.collect())

@@ -37,6 +37,23 @@ class FileMeta:
         return not ((low is not None and self.largest_key < low) or (high is not None and self.smallest_key > high))
 
 
+def apart(files: list[FileMeta]) -> tuple[list[FileMeta], list[FileMeta]]:
+    """Files that have each of their keys once and alone: compaction outputs that overlap no other; and the rest."""
+    alone, rest, group, high = [], [], [], None
+
+    def close() -> None:
+        (alone if len(group) == 1 and group[0].level >= 1 else rest).extend(group)
+
+    for f in sorted(files, key=lambda f: f.smallest_key):
+        if group and f.smallest_key > high:
+            close()
+            group = []
+        high = f.largest_key if not group else max(high, f.largest_key)
+        group.append(f)
+    close()
+    return alone, rest
+
+
 @dataclass
 class Edit:
     comparator: str | None = None

@@ -27,7 +27,7 @@ from .operators import lookup, mutate, scan
 from .operators.resolve import latest
 from .options import Options
 from .plans.compact import Compaction, merged, pick, split
-from .plans.manifest import COMPARATOR, Edit, FileMeta, Version, replay
+from .plans.manifest import COMPARATOR, Edit, FileMeta, Version, apart, replay
 from .schema import DELETION, MAX_SEQUENCE, MUTATION, VALUE
 from .sources.files import Files
 
@@ -53,10 +53,16 @@ class Snapshot:
         return self._store._read(self.version.candidates(low, high))
 
     def live(self, low=None, high=None) -> DataFrame:
-        """Live (key, value) rows of [low, high)."""
+        """Live (key, value) rows of [low, high).  Where compaction has left one file for a range of keys, rows are read as they
+        stand; only the other files' rows are shuffled and ranked."""
         low, high = (None if x is None else _bytes(x) for x in (low, high))
-        rows = scan.between(self.log(low, high), None if low is None else bytearray(low), None if high is None else bytearray(high))
-        return latest(rows, self.sequence).select("key", "value")
+        alone, rest = apart(self.version.candidates(low, high))
+        bounds = [None if x is None else bytearray(x) for x in (low, high)]
+        rows = latest(scan.between(self._store._read(rest), *bounds), self.sequence).select("key", "value")
+        if alone:  # nothing to rank there: no shuffle
+            single = scan.between(self._store._read(alone), *bounds).where((F.col("type") == VALUE) & (F.col("seq") <= self.sequence)).select("key", "value")
+            rows = single.unionByName(rows) if rest else single
+        return rows
 
     def prefix(self, prefix) -> DataFrame:
         from .schema import successor
@@ -357,7 +363,7 @@ class Store:
         ranges += [(f.smallest_key, f.largest_key) for f in self.version.files if f.level in (plan.level, plan.level + 1) and f.number not in chosen and plan.level]
         rows = merged(self._read(list(plan.files)), ranges)
         total = sum(f.file_size for f in plan.files)
-        added = self._write_run(split(rows, total, self.options.max_file_size), plan.level + 1, sum(f.rows for f in plan.files)) if not rows.isEmpty() else []
+        added = self._write_run(split(rows, total, self.options.max_file_size), plan.level + 1, sum(f.rows for f in plan.files))
         self._commit(Edit(deleted=[(f.level, f.number) for f in plan.files], added=added, kept_from=self.version.last_sequence))
 
     def maintain(self) -> int:
