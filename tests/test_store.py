@@ -33,6 +33,18 @@ def test_put_get_delete(spark, tmp_path):
         s.put("a", "b")
 
 
+def test_bounds_reach_the_scan(spark, tmp_path):
+    with Store.open(spark, f"{tmp_path}/s") as s:
+        s.put_many(many(spark, [(f"k{i}", "v") for i in range(50)]))
+        s.flush()
+        s.put_many(many(spark, [(f"z{i}", "v") for i in range(50)]))
+        snap = s.snapshot()
+        assert len(snap.version.candidates(b"k1", b"k3")) == 1  # whole files are skipped by their key ranges
+        plan = snap.live("k1", "k3")._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
+        assert len(rows(snap.live("k1", "k3"))) == 22
+
+
 def test_overwrite_across_flush(spark, tmp_path):
     with Store.open(spark, f"{tmp_path}/s") as s:
         s.put("key1", "A")
