@@ -9,8 +9,8 @@ Learning sees at most ``PER_CLASS`` labelled rows of either class and texts of a
 driver holds those.  Input vectors begin with the log odds of their words in that sample.  Scoring is a map over the
 rows, whole texts, in groups of windows of bounded size.
 
-Defined results: null and empty texts, and texts without a word, have score 0; with one class or none to learn from,
-every other score is that class, smoothed by one row, or 0.5; repeated rows get equal scores; an empty table gives an
+Defined results: null and empty texts, and texts without a word, have score 0; with one class to learn from,
+every other score is that class, smoothed by one row, and with none it is 0; repeated rows get equal scores; an empty table gives an
 empty table; other columns of the input are ignored.
 """
 
@@ -225,7 +225,9 @@ class Model:
 def fit(texts: list[str], labels: list[int]) -> Model:
     docs, y = zip(*[(w, t) for w, t in ((words(t), y) for t, y in zip(texts, labels)) if w]) if texts else ([], [])
     y = np.array(y, float)
-    if len(set(labels)) < 2 or len(set(y.tolist())) < 2:
+    if not len(y):
+        return Model(None, 0.0)  # nothing says that anything is toxic
+    if len(set(y.tolist())) < 2:
         return Model(None, (y.sum() + 0.5) / (len(y) + 1))
     network, lexicon = Network(), Lexicon()
     numbers = [lexicon.read(d) for d in docs]
