@@ -4,7 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``.  A
 ``docs``; the last returns ids and digests.  Between stages rows are written and read again.
 
 Defined results: rows with null or empty text have quality 0 and go in the first stage; of rows that share an id one
-stays after near-deduplication; other columns are carried along; empty tables pass through.
+stays after near-deduplication, and rows with a null id, which nothing could name, go there; other columns are carried
+along; empty tables pass through.
 """
 
 from __future__ import annotations
