@@ -253,7 +253,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpointed(small.select("x.u", "x.v").where("u <> v").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == seen:
-            return edges.select(e("u").alias("node"), e("v").alias("root"))
+            roots = edges.select(e("v").alias("node")).distinct()
+            return edges.select(e("u").alias("node"), e("v").alias("root")).unionByName(roots.withColumn("root", e("node")))
         seen = now
 
 
@@ -261,11 +262,12 @@ def classes(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_
     """``(id_col, fp, component_id)`` for every row of ``docs``."""
     prints = checkpointed(fingerprints(docs, id_col, text_col))
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    found = components(links(nodes.select("fp"), radius))
-    roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    found = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    # One row a component, written: the join with its members then has two plain sides, and a large one can be split.
+    smallest = checkpointed(found.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = found.join(smallest, "root").select("fp", "component_id")
+    alone = nodes.join(found.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return prints.join(linked.unionByName(alone), "fp").select(id_col, "fp", "component_id")
 
 
 def report(found: DataFrame) -> DataFrame:
