@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, quality, simhash, toxicity
+from tidemark.llm import bpe, decontaminate, near, quality, toxicity
 from tidemark.llm.common import checkpointed, fold, free_name, read_table
 from tidemark.llm.queries import word_bpe_path
 
@@ -40,8 +40,9 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest id."""
-    classes = checkpointed(simhash.classes(docs).select("doc_id", "component_id"))
+    """One document of each class of near duplicates stays, the one with the smallest id.  Near duplicates have a Jaccard
+    similarity of 0.8 or more over five-word shingles; op2's fingerprints would miss most of those below 0.96."""
+    classes = checkpointed(near.classes(docs).select("doc_id", "component_id"))
     stays = classes.where("doc_id = component_id").select("doc_id")
     kept = docs.join(stays.distinct(), "doc_id", "left_semi").select(*docs.columns)
     again = stays.groupBy("doc_id").count().where("count > 1")

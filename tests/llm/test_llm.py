@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, chat, decontaminate, langid, licenses, quality, queries, simhash, toxicity, urls
+from tidemark.llm import ann, bpe, chat, decontaminate, langid, licenses, near, quality, queries, simhash, toxicity, urls
 from tidemark.llm.common import fold
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -502,6 +502,54 @@ def test_walk_goes_by_summed_distance():
 # --- pipeline -----------------------------------------------------------------------------------------------------
 
 
+def plain_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_near(rows):
+    """Smallest id of each row's class, by comparing all sets."""
+    sets, root = {i: plain_shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("part", [near.PART, 400])
+def test_near_duplicates_agree_with_brute_force(spark, part):
+    rng = np.random.default_rng(3)
+    rows = []
+    for base in range(12):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append((len(rows), " ".join(w)))
+        for changed in (1, 3, 4, 5, 9):  # of 196 shingles each change takes up to five: similarities of 0.95 to 0.6
+            v = list(w)
+            for at in rng.choice(200, changed, replace=False):
+                v[at] = "other"
+            rows.append((len(rows), " ".join(v)))
+    rows += [(900, None), (901, ""), (902, " "), (903, "one two"), (904, "ONE  two"), (905, "one three"), (906, rows[0][1].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near.classes(docs, part).collect()}
+    want = plain_near(rows)
+    assert got == want
+    assert got[906] == 0 and got[900] == got[902] == 900 and got[905] == 905
+    assert near.classes(docs.limit(0)).count() == 0
+
+
+def test_pipeline_drops_near_copies_of_similarity_four_fifths(spark):
+    import corpus_pipeline
+
+    w = [f"w{k}" for k in range(200)]
+    v, u = list(w), list(w)
+    v[20] = v[60] = v[100] = v[140] = "other"  # 176 of 216 shingles: 0.81
+    u[20] = u[60] = u[100] = u[140] = u[180] = "another"  # 171 of 221: 0.77
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((w, v, u))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == [0, 2]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from tidemark.llm.queries import ORACLE_SQL, QUERIES
