@@ -20,8 +20,8 @@ from tidemark.llm.queries import word_bpe_path
 #: Score at and above which a document counts as good, or as toxic.
 QUALITY = 0.3
 TOXIC = 0.3
-#: A document goes if it holds windows of two benchmark items, or a run of so many words that the benchmark has: one
-#: shared window of 8 words can be chance, a passage isn't.
+#: A document goes if it holds windows of two benchmark items, or a run of so many words that the benchmark has, or of all
+#: words of an item that has fewer (but a full window): one shared window of 8 words can be chance, a passage isn't.
 PASSAGE = 13
 #: Most ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
@@ -50,8 +50,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.report(decontaminate.hits(docs, read_table(spark, sf_dir, "benchmark")))
-    gone = checkpointed(found.where(F.col("contaminated") | (F.col("longest_span") >= PASSAGE)).select("doc_id").distinct())
+    found = decontaminate.hits(docs, read_table(spark, sf_dir, "benchmark"))
+    passage = decontaminate.longest(F.col("spans")) >= F.least(F.lit(PASSAGE), F.col("whole"))  # least skips null
+    gone = checkpointed(found.where((F.size("items") >= 2) | passage).select("doc_id").distinct())
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -550,6 +550,18 @@ def test_pipeline_drops_near_copies_of_similarity_four_fifths(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == [0, 2]
 
 
+def test_pipeline_drops_whole_short_items(spark, tmp_path):
+    import corpus_pipeline
+
+    items = ["a1 a2 a3 a4 a5 a6 a7 a8", "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10", " ".join(f"c{k}" for k in range(20)), "d1 d2 d3"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = items[2].split()
+    texts = [f"x {items[0]} y", f"x {items[1]}, y", f"x {items[1][:-4]} y", f"x {' '.join(c[4:16])} y", f"x {' '.join(c[4:17])} y", f"x {items[3]} y", "x y", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.not_contaminated(spark, docs, str(tmp_path)).collect()}
+    assert kept == {2, 3, 5, 6, 7}  # 9 of 10 words, 12 of 20 and an item of less than a window stay
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from tidemark.llm.queries import ORACLE_SQL, QUERIES

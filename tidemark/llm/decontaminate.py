@@ -68,19 +68,21 @@ def winnow(word_array: Column, span: int = SPAN, k: int = GRAM) -> Column:
 
 
 def windows(bench: DataFrame, span: int, k: int) -> DataFrame:
-    """``(fp, len, window, items)`` of the benchmark's windows, each different window once."""
+    """``(fp, len, window, items, whole)`` of the benchmark's windows, each different window once; ``whole`` is the least
+    number of words of an item with the window."""
     items = bench.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w"))
     items = items.select("item_id", "w", F.least(F.size("w"), F.lit(span)).alias("len")).where("len > 0")
     at = items.select("item_id", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("at"))
-    cut = at.select("item_id", "len", F.slice("w", F.col("at"), F.col("len")).alias("w"))
+    cut = at.select("item_id", "len", F.size("w").alias("whole"), F.slice("w", F.col("at"), F.col("len")).alias("w"))
     fp = F.when(F.col("len") == span, winnow(F.col("w"), span, k)[0]).otherwise(F.xxhash64("w"))
-    cut = cut.select("item_id", "len", F.array_join("w", " ").alias("window"), fp.alias("fp"))
-    return cut.groupBy("fp", "len", "window").agg(F.collect_set("item_id").alias("items"))
+    cut = cut.select("item_id", "len", "whole", F.array_join("w", " ").alias("window"), fp.alias("fp"))
+    return cut.groupBy("fp", "len", "window").agg(F.collect_set("item_id").alias("items"), F.min("whole").alias("whole"))
 
 
 def hits(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """``(doc_id, n_words, spans, items)``: ``spans`` are the hit windows as sorted ``(begin, end)`` word places, ``end``
-    excluded; ``items`` the ids of benchmark items that have any."""
+    """``(doc_id, n_words, spans, items, whole)``: ``spans`` are the hit windows as sorted ``(begin, end)`` word places, ``end``
+    excluded; ``items`` the ids of benchmark items that have any; ``whole`` is the least number of words of an item of ``span``
+    or more words that has any, null if none has."""
     bench_windows = windows(bench, span, k).persist()
     try:
         short = sorted(r[0] for r in bench_windows.where(F.col("len") < span).select("len").distinct().collect())
@@ -105,7 +107,7 @@ def hits(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) ->
             places = F.when(F.size("w") >= m, F.sequence(F.lit(1), F.size("w") - (m - 1))).otherwise(F.array().cast("array<int>"))
             at = split.select("doc_id", "row", "w", F.explode(places).alias("at"))
             found = found.unionByName(candidates(at.withColumn("fp", F.xxhash64(F.slice("w", F.col("at"), F.lit(m)))), m))
-        exact = bench_windows.select("len", "window", "items")
+        exact = bench_windows.select("len", "window", "items", "whole")
         hit = found.join(side(exact), ["len", "window"], "left")
         is_hit = F.col("items").isNotNull()
         begin = F.col("at") - 1
@@ -114,9 +116,10 @@ def hits(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) ->
             F.count_if(F.col("at") == 0).alias("copies"),
             F.sort_array(F.collect_set(F.when(is_hit, F.struct(begin.alias("begin"), (begin + F.col("len")).alias("end"))))).alias("spans"),
             F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+            F.min(F.when(F.col("len") == span, F.col("whole"))).alias("whole"),
         )
         each = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-        return each.select("doc_id", "n_words", "spans", "items")
+        return each.select("doc_id", "n_words", "spans", "items", "whole")
     finally:
         bench_windows.unpersist()
 
