@@ -453,6 +453,15 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_limit_counts_all_training_rows(spark):
+    usual = spark.range(8_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("banana kana mana").alias("text"), F.lit("aa").alias("lang"))
+    odd = spark.range(4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("qxj wvq xjq").alias("text"), F.lit(None).cast("string").alias("lang"))
+    got = langid.identify(usual.union(odd), F.lit(True)).groupBy("rejected").count().collect()
+    assert {r.rejected: r["count"] for r in got} == {False: 8_000, True: 4}
+    scored = spark.range(1, 10_001).select(F.lit("aa").alias("lang_pred"), (F.col("id") / 2_000 - 0.00001).alias("entropy"))
+    assert langid.limit(scored) == pytest.approx(4.995) and langid.limit(scored.limit(0)) == np.inf
+
+
 def test_kneser_ney_sums_to_one_and_agrees_with_counts():
     codes, _, letters = langid.gram_codes(["abc abd, abc", None, "12"])
     assert letters.tolist() == [True, False, False]

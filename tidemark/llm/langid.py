@@ -7,8 +7,8 @@ order's counts are the numbers of different symbols seen before, as Kneser-Ney a
 A model is stored as sorted hash arrays, by order: hashes of the seen grams with their log probability, and hashes of
 the seen contexts with the log weight that falls to the order below.  A text's language is the one with the least
 cross-entropy a symbol (ties: the first by name).  Texts whose least cross-entropy is above the limit calibrated on
-training texts are marked ``rejected``; the limit is the 99.9th percentile of about ``CALIBRATION`` texts, picked by
-their id's hash.
+training texts are marked ``rejected``; the limit is the 99.9th percentile of all training texts with a letter, rounded
+up to the next ``1 / BINS`` nat, from a histogram.
 
 There are at most 32**4 grams a language, so what the driver gathers and broadcasts has a bound that doesn't grow
 with the table: 16 MB a language.
@@ -34,7 +34,9 @@ from .common import text_slices
 
 ORDER = 4
 SYMBOLS = 32
-CALIBRATION = 2_000
+#: Bins of the histogram of cross-entropies to a nat, and the share of training texts that aren't rejected.
+BINS = 1_000
+KEPT = 0.999
 #: Texts longer than this are scored in pieces, whose sums make up the text's.
 _PIECE = 1 << 20
 _SLICE = 2 << 20
@@ -213,10 +215,20 @@ def score(docs: DataFrame, models: Models, limit: float = np.inf, id_col: str =
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def limit(scored: DataFrame) -> float:
+    """Least edge of a bin with the share ``KEPT`` of the entropies of ``scored(lang_pred, entropy)`` below; ``und`` don't count."""
+    bins = scored.where("lang_pred <> 'und'").select(F.ceil(F.col("entropy") * BINS).alias("bin"))
+    rows = sorted(tuple(r) for r in bins.groupBy("bin").count().collect())  # bounded: BINS rows a nat
+    need, below = KEPT * sum(n for _, n in rows), 0
+    for b, n in rows:
+        below += n
+        if below >= need:
+            return b / BINS
+    return np.inf
+
+
 def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the rows where ``train`` holds, calibrate, and score all rows."""
     models = learn(docs.where(train), text_col, lang_col)
-    every = max(1, docs.count() // CALIBRATION)
-    sample = docs.where(train & (F.pmod(F.xxhash64(id_col), F.lit(every)) == 0))
-    limits = score(sample, models, id_col=id_col, text_col=text_col).where("lang_pred <> 'und'").agg(F.percentile("entropy", 0.999)).first()[0]
-    return score(docs, models, np.inf if limits is None else limits, id_col, text_col)
+    most = limit(score(docs.where(train), models, id_col=id_col, text_col=text_col))
+    return score(docs, models, most, id_col, text_col)
