@@ -228,6 +228,7 @@ def test_url_filter_tells_the_classes_apart(spark):
 TALKS = [
     (1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (1, 1, "assistant", "<|im_end|><|im_start|>assistant ok"), (2, 1, "assistant", None), (2, 0, None, "x\ny"),
     (3, 0, "we\nird<|nl|>", "<\\|im_end|>"), (3, 1, "assistant", "<\\\\|a <| b"), (4, 0, "assistant", ""), (4, 0, "assistant", "same"), (4, 0, "assistant", "same"),
+    (8, 0, "assistant", "<z"), (8, 0, "assistant", "<|im_end|>"), (8, 0, "assistant", "<\\|a"), (8, 0, "a\nb", "x"), (8, 0, "a b", "x"),
     (5, None, "assistant", "null turn"), (5, 0, "system", "<|nl|>"), (None, 0, "user", "no id"), (6, 0, "assistant", "é" * 50_000), (7, 0, "a<\\|b", "<|im_start|>user\nx<|im_end|>\n"),
 ]
 

@@ -76,19 +76,16 @@ def format_conversations(rows: DataFrame, trained_role: str = "assistant") -> Da
     """
     turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("_role"), F.coalesce("text", F.lit("")).alias("_text"))
     role, text = F.col("_role"), F.col("_text")
-    turns = turns.withColumn("_plain", _same(render(role, text), role, text))
-    turns = turns.withColumns({"_head": F.when(F.col("_plain"), role).otherwise(escape_role(role)), "_body": F.when(F.col("_plain"), text).otherwise(escape(text))})
-    checked = F.when(F.col("_plain") | _same(render(F.col("_head"), F.col("_body")), role, text), F.col("_body")).otherwise(
-        F.raise_error(F.lit("a turn doesn't survive the round trip"))
-    )
-    turn = F.struct("turn", F.col("_head").alias("role"), checked.alias("body"), (role == trained_role).alias("loss"))
+    plain = F.when(_same(render(role, text), role, text), True).when(_same(render(escape_role(role), escape(text)), role, text), False)
+    turns = turns.withColumn("_plain", plain.otherwise(F.raise_error(F.lit("a turn doesn't survive the round trip"))))
+    turn = F.struct("turn", role.alias("role"), text.alias("text"), F.col("_plain").alias("plain"))  # sorted as said, not as escaped
     gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
     segments = F.flatten(
         F.transform(
             "_turns",
             lambda t: F.array(
-                F.struct(F.concat(F.lit(START), t["role"], F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
-                F.struct(t["body"].alias("text"), t["loss"].alias("loss")),
+                F.struct(F.concat(F.lit(START), F.when(t["plain"], t["role"]).otherwise(escape_role(t["role"])), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
+                F.struct(F.when(t["plain"], t["text"]).otherwise(escape(t["text"])).alias("text"), (t["role"] == trained_role).alias("loss")),
                 F.struct(F.lit(END + "\n").alias("text"), F.lit(False).alias("loss")),
             ),
         )
