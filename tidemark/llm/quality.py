@@ -2,8 +2,7 @@
 
 A document's bytes are cut into blocks of ``BLOCK``; a chunk is two neighbouring blocks, so chunks overlap by half and
 cover the whole document.  ``FILTERS`` learned filters of ``WIDTH`` bytes run over every place; each block keeps their
-largest and mean response, and how well the block matches itself at its best lag (repeated words do).  A hidden
-layer gives each chunk a logit of being junk, the largest logit of all chunks is the document's, and the score is the
+largest and mean responses.  A hidden layer gives each chunk a logit of being junk, the largest logit of all chunks is the document's, and the score is the
 probability of label 1, ``sigmoid(-logit)``.
 
 Learning sees at most ``PER_CLASS`` labelled rows of either class and texts of at most ``MAX_CHARS`` characters; the
@@ -25,9 +24,8 @@ from .nets import Adam, class_weights, sigmoid
 
 BLOCK = 128
 WIDTH = 4
-FILTERS = 8
-HIDDEN = 12
-LAGS = range(2, 33)
+FILTERS = 16
+HIDDEN = 16
 PER_CLASS = 1_500
 MAX_CHARS = 30_000
 EPOCHS = 7
@@ -41,23 +39,13 @@ class Bytes:
 
     def __init__(self, docs: list[bytes]):
         sizes = np.array([-(-(len(d) + WIDTH) // BLOCK) for d in docs], np.int64)
-        self.flat = np.frombuffer(b"".join(d.ljust(s * BLOCK, b"\0") for d, s in zip(docs, sizes.tolist())) + bytes(max(LAGS) + WIDTH), np.uint8)
+        self.flat = np.frombuffer(b"".join(d.ljust(s * BLOCK, b"\0") for d, s in zip(docs, sizes.tolist())) + bytes(WIDTH), np.uint8)
         self.n = int(sizes.sum()) * BLOCK
         first = np.cumsum(sizes) - sizes
         chunks = np.maximum(sizes - 1, 1)
         self.doc_start = np.cumsum(chunks) - chunks  # first chunk of each document
         self.left = np.repeat(first, chunks) + np.arange(chunks.sum()) - np.repeat(self.doc_start, chunks)
         self.right = self.left + np.repeat(sizes > 1, chunks)
-        self.lag = self._lags()
-
-    def _lags(self) -> np.ndarray:
-        here = self.flat[: self.n]
-        some = here != 0
-        best = np.zeros(self.n // BLOCK, np.uint8)
-        for d in LAGS:
-            same = np.packbits((self.flat[d : d + self.n] == here) & some).view(np.uint64)
-            np.maximum(best, np.bitwise_count(same).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint8), out=best)
-        return best.astype(np.float32) / BLOCK
 
 
 class Network:
@@ -65,7 +53,7 @@ class Network:
         rng = np.random.default_rng(3)
         self.p = {
             "taps": rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32),
-            "w1": rng.normal(0, 0.4, (2 * FILTERS + 1, HIDDEN)).astype(np.float32),
+            "w1": rng.normal(0, 0.4, (2 * FILTERS, HIDDEN)).astype(np.float32),
             "b1": np.zeros(HIDDEN, np.float32),
             "w2": rng.normal(0, 0.4, HIDDEN).astype(np.float32),
             "b2": np.zeros(1, np.float32),
@@ -79,16 +67,16 @@ class Network:
         return np.maximum(out, 0, out=out)
 
     def features(self, x: Bytes) -> np.ndarray:
-        """By chunk: largest and mean response of each filter, best self-match."""
+        """By chunk: largest and mean response of each filter."""
         most, mean = [], []
-        for s in range(0, x.n, BLOCK * 4096):
-            m = min(BLOCK * 4096, x.n - s)
+        for s in range(0, x.n, BLOCK * 256):
+            m = min(BLOCK * 256, x.n - s)
             r = self.responses(x.flat[s:], m).reshape(-1, BLOCK, FILTERS)
             most.append(r.max(axis=1))
             mean.append(r.mean(axis=1))
         most, mean = np.concatenate(most), np.concatenate(mean)
         a, b = x.left, x.right
-        return np.concatenate([np.maximum(most[a], most[b]), (mean[a] + mean[b]) / 2, np.maximum(x.lag[a], x.lag[b])[:, None]], axis=1)
+        return np.concatenate([np.maximum(most[a], most[b]), (mean[a] + mean[b]) / 2], axis=1)
 
     def chunk_logits(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.maximum(f @ self.p["w1"] + self.p["b1"], 0)
@@ -156,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the column ``name``, which it mustn't have."""
+    """``docs`` with the column ``name``; a column of that name in ``docs`` is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     return appended(docs, text_col, name, lambda texts: held.value.scores(texts))
 
