@@ -69,7 +69,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir", None)
-        if where is None:  # a local session, as in tests
+        if where is None:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir isn't set; on a cluster it has to name a shared folder")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
@@ -80,18 +82,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, max_chars: int) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``per_class`` rows of either class, where ``train`` holds of the document id.  Rows
     come by their id's hash, so the choice is the same on every run.  Texts of more than ``max_chars`` are not used
-    for learning, which bounds what the driver holds."""
+    for learning, and of rows that share an id only the one with the smallest text is, which bounds what the driver holds."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(train & F.col("label").isin(0, 1)).distinct()
     order = F.xxhash64("doc_id")
     picked = known.where("label = 0").orderBy(order, "doc_id").limit(per_class).union(known.where("label = 1").orderBy(order, "doc_id").limit(per_class))
     fits = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = fits.join(F.broadcast(picked), "doc_id").toArrow()  # bounded: twice per_class rows
+    one = fits.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = one.toArrow()  # bounded: twice per_class rows
     by = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["text"].to_pylist()))
     return [t for _, _, t in by], [y for _, y, _ in by]
 
 
 def appended(docs: DataFrame, text_col: str, name: str, values) -> DataFrame:
-    """``docs`` with a double column ``name``, which no column of ``docs`` may have: ``values(texts)`` of bounded slices."""
+    """``docs`` with a double column ``name``: ``values(texts)`` of bounded slices.  A column of that name is replaced."""
+    if name.lower() == text_col.lower():
+        raise ValueError(f"{name} is the column of the texts")
+    docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
