@@ -477,36 +477,66 @@ def test_kneser_ney_sums_to_one_and_agrees_with_counts():
 # --- 10 neighbours ------------------------------------------------------------------------------------------------
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
+    """With all cells passed the search is exact: rows, copies, own rows, lengths, ties."""
+    monkeypatch.setattr(ann, "PART", 60)
     rng = np.random.default_rng(10)
     x = rng.normal(size=(300, 6)).round(2)
     x[50:90] = x[40]  # a large group of copies
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    rows += [(400, None), (420, [0.0] * 6), (440, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (460, [float("nan")] * 6), (480, [float("inf")] * 6), (500, [1.0]), (None, [1.0] * 6), (520, []), rows[0]]
+    rows += [(400, None), (420, [0.0] * 6), (440, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (460, [float("nan")] * 6), (480, [float("inf")] * 6), (None, [1.0] * 6), (520, [])]
+    rows += [rows[0], (20, (-x[20]).tolist()), (500, [1.0]), (501, [2.0]), (502, [-1.0])]
     df = spark.createDataFrame([(i, v, 1, "k") for i, v in rows], "vec_id long, embedding array<double>, label int, key string")
-    got = by_id(ann.search(df), "query_id")
-    assert set(got) == set(range(0, 300, 20))
-    for q, found in got.items():
-        found = sorted(found, key=lambda r: r.rank)
-        want = sorted((-round(float(x[q] @ x[i]), 9), i) for i in range(300) if i != q)[:20]
-        assert [r.rank for r in found] == list(range(1, 21))
-        assert sorted(r.vec_id for r in found) == sorted(i for _, i in want)
-        assert [r.score for r in found] == pytest.approx([-s for s, _ in want])
-    few = df.where("vec_id < 5")
-    assert sorted((r.query_id, r.rank) for r in ann.search(few).collect()) == [(0, k) for k in (1, 2, 3, 4)]
-    assert ann.search(df.limit(0)).count() == 0 and ann.search(df.where("vec_id >= 400")).count() == 0
+    usable = [(i, v) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    want = []
+    for k, (i, v) in enumerate(usable):
+        if i % 20 == 0:
+            near = sorted((-round(float(np.dot(v, u)), 9), j) for n, (j, u) in enumerate(usable) if n != k and len(u) == len(v))[:20]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near)]
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.search(df, share=1.0).collect()]
+    assert sorted(g[:2] + g[3:] for g in got) == sorted(w[:2] + w[3:] for w in want)
+    assert sorted(g[::2] for g in got) == sorted(w[::2] for w in want)
+    assert {q for q, *_ in got} == {*range(0, 300, 20), 500}
+    few = df.where("vec_id < 5 and vec_id > 0 or vec_id = 40")
+    assert sorted((r.query_id, r.rank) for r in ann.search(few).collect()) == [(40, k) for k in (1, 2, 3, 4)]
+    assert ann.search(df.limit(0)).count() == 0 and ann.search(df.where("vec_id >= 400 and vec_id < 490")).count() == 0
+
+
+@pytest.mark.parametrize("n", [600, 2000])
+def test_recall_of_the_index(spark, n):
+    """The same way at every size: two fifths of the entries, clustered and directionless ones."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32))
+    x[: n // 2] = rng.normal(size=(12, 32))[rng.integers(0, 12, n // 2)] + 0.4 * x[: n // 2]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = ann.search(df)
+    assert found.count() == 20 * -(-n // 20)
+    least = ann.recall(df, ann.search(df, share=0.01))
+    assert least + 0.1 < ann.recall(df, found) < 1 and ann.recall(df, found) >= 0.9  # cells that aren't passed aren't searched
 
 
 def test_walk_goes_by_summed_distance():
     rng = np.random.default_rng(11)
     a, b, n = rng.normal(size=7), rng.normal(size=9), rng.integers(0, 5, (7, 9))
-    order = np.argsort(-(a[:, None] + b[None, :]).ravel(), kind="stable")
-    for need in (0, 1, 20, 60, 10_000):
-        passed = ann.walk(a, b, n, need)
-        k = int(np.searchsorted(np.cumsum(n.ravel()[order]), need)) + 1 if need else 0
-        want = np.zeros(63, bool)
-        want[order[:k]] = True
-        assert (passed.ravel() == want).all()
+    sums = (a[:, None] + b[None, :]).ravel()
+    order = np.argsort(-sums, kind="stable")
+    for need in (1, 20, 60, 10_000):
+        k = int(np.searchsorted(np.cumsum(n.ravel()[order]), need))
+        assert ann.walk(a, b, n, need) == sums[order[min(k, 62)]]
+    assert ann.walk(a, b, n, 0) == np.inf
+
+
+def test_parts_have_bounded_size():
+    rng = np.random.default_rng(12)
+    counts = rng.integers(0, 40, 50)
+    counts[7] = 500
+    parts = ann.dealt(counts, 100, 4)
+    total = defaultdict(float)
+    for (first, n), c in zip(parts, counts):
+        for p in range(first, first + n):
+            total[p] += c / n
+    assert max(total.values()) <= 100 and parts[7][1] == 5
 
 
 # --- pipeline -----------------------------------------------------------------------------------------------------
