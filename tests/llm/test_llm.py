@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import hashlib
+import itertools
 import json
 import re
 import zlib
@@ -269,24 +270,42 @@ def plain_hits(text, items, span=8):
     return len(w), len(hit), sorted(found), max(map(len, runs), default=0)
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
+@pytest.mark.parametrize("limit", [500_000, 40])
 def test_decontamination(spark, monkeypatch, limit):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit - 40)
     rng = np.random.default_rng(3)
     random_text = lambda n: " ".join(rng.choice(list("abc"), n))
     items = [(1, random_text(20)), (2, random_text(30)), (3, "the lazy dog"), (4, None), (5, ""), (6, "a b"), (7, "Quick BROWN fox jumps, over the lazy dog near the old"), (None, "one two three"), (8, random_text(9))]
-    texts = [*TEXTS, *((100 + k, random_text(int(n))) for k, n in enumerate(rng.integers(0, 60, 25)))]
+    texts = [*TEXTS, (None, items[0][1]), (None, "x"), (90, "A\0b\x7fthe-LAZY\u00a0dog"), (91, " the  lazy dog. "), *((100 + k, random_text(int(n))) for k, n in enumerate(rng.integers(0, 60, 25)))]
     docs = spark.createDataFrame([(i, t, "w", 0) for i, t in texts], "doc_id long, text string, w string, at int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = by_id(decontaminate.report(decontaminate.hits(docs, bench)))
     assert sum(map(len, got.values())) == len(texts)
     for i, t in texts:
         n, hit, found, run = plain_hits(t, [x for x in items if x[0] is not None])
-        r = got[i][0]
+        r = next(r for r in got[i] if r.n_words == n)
         assert (r.n_words, r.n_hit, r.n_items, r.longest_span) == (n, hit, len(found), run), (i, t)
         assert r.items_sha256 == sha(",".join(sorted(map(str, found)))) and r.contaminated == (len(found) >= 2)
 
 
+def test_winnowing_keeps_one_of_each_run_and_loses_no_span(spark):
+    rng = np.random.default_rng(4)
+    texts = [rng.choice(list("abcdefgh"), n).tolist() for n in (0, 7, 8, 9, 40, 300)] + [["a"] * 50]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, w array<string>")
+    rows = df.select("k", decontaminate.fingerprints(F.col("w")).alias("m"), decontaminate.winnow(F.col("w")).alias("runs")).collect()
+    by_window = defaultdict(set)
+    for r in rows:
+        w = texts[r.k]
+        assert len(r.m) == max(0, len(w) - 7)
+        for i, fp in enumerate(r.m):
+            by_window[tuple(w[i : i + 8])].add(fp)
+        assert [(x.fp, x.begin, x.end) for x in r.runs] == [(g[0][1], g[0][0], g[-1][0]) for g in ([*v] for _, v in itertools.groupby(enumerate(r.m), key=lambda p: p[1]))]
+    assert all(len(f) == 1 for f in by_window.values())  # equal windows, equal fingerprints: no shared span is lost
+    long = next(r for r in rows if r.k == 5)
+    assert len(long.runs) < 0.6 * len(long.m) and len(rows[6].runs) == 1
+
+
 def test_decontamination_of_empty_tables(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.hits(empty, none).count() == 0

@@ -10,17 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of the license and decontamination contracts: runs of anything but ASCII non-alphanumerics.
-WORD_PATTERN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What parts the words of the license and decontamination contracts: ASCII but letters and digits.
+SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 #: For str.translate: lower-cases A-Z only.
-ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
+ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
-    return F.translate(c, _UPPER, _LOWER)
+    return F.translate(c, UPPER, LOWER)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

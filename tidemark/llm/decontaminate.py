@@ -1,33 +1,42 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-A text's fingerprint for each window of ``span`` words is the smallest hash of the ``k``-word grams inside it.
-Equal windows have equal fingerprints, so joining the fingerprints of texts and benchmark loses no shared span
-of ``span`` or more words.  Each hit is extended to its window, and the window's words are compared with the
-benchmark's; runs of hit windows make up the spans.  Benchmark items of fewer words than ``span`` are one window
-of their own length.
+A text's fingerprint for each window of ``span`` words is the smallest hash of the ``k``-word grams inside it.  Neighbouring
+windows mostly share theirs: of each run of windows with equal fingerprints one is kept, with the run's bounds.
+Equal windows have equal fingerprints, so joining what is kept of the texts with the fingerprints of the benchmark loses no shared
+span of ``span`` or more words.  Each hit is extended over the windows of its run, whose words are compared with the
+benchmark's; runs of hit windows make up the spans.  Benchmark items of fewer words than ``span`` are one window of
+their own length, and its hash is their fingerprint.
 
-The texts pass once, without a shuffle, if the benchmark's windows number at most ``BROADCAST_WINDOWS``
-(counted first); beyond it the joins are shuffled.  Only hits and one row a document are shuffled then.
+The texts pass once for each ``BROADCAST_WINDOWS`` windows of the benchmark, which are counted first and broadcast in blocks.
+What is kept of a text and hit is written, with a row for each document; texts with hits are then read again and compared.
+Their hits are broadcast up to ``BROADCAST_ROWS`` documents, which are counted; beyond it texts are shuffled once.
 
 Defined results: null or empty texts have no words, no hits, and aren't contaminated; repeated documents give a
 row each; items with null or empty text have no windows, and items with a null id are left out; an empty benchmark
-hits nothing; other columns of the inputs are ignored.
+hits nothing; null document ids are kept; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, ascii_lower, let
+from .common import LOWER, SEPARATORS, UPPER, checkpointed, let
 
 SPAN = 8
 GRAM = 5
+#: Windows and item ids of them that are broadcast at once.
 BROADCAST_WINDOWS = 500_000
+#: Documents with hits that are broadcast, and hits in them.
+BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
+    """Runs of anything but ASCII non-alphanumerics, A-Z lower-cased: those become spaces, and spaces part the words."""
+    spaced = F.trim(F.translate(F.coalesce(text, F.lit("")), UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS)))
+    return F.when(spaced != "", F.split(spaced, " +")).otherwise(F.array().cast("array<string>"))
 
 
 def _paired(x: Column, shift: int, f) -> Column:
@@ -60,13 +69,30 @@ def _mix(a: Column, b: Column) -> Column:
     return F.xxhash64(a, b)
 
 
-def winnow(word_array: Column, span: int = SPAN, k: int = GRAM) -> Column:
-    """Fingerprints by window start: the smallest k-gram hash in each window of ``span`` words."""
+def fingerprints(word_array: Column, span: int = SPAN, k: int = GRAM) -> Column:
+    """By window start: the smallest k-gram hash in each window of ``span`` words."""
     hashes = F.transform(word_array, lambda w: F.xxhash64(w))
     found = let(hashes, lambda h: _reach(h, k, _mix, lambda g: _reach(g, span - k + 1, _least, lambda m: m)))
     return F.when(F.size(word_array) >= span, found).otherwise(F.array().cast("array<bigint>"))
 
 
+def winnow(word_array: Column, span: int = SPAN, k: int = GRAM) -> Column:
+    """``array<struct<fp, begin, end>>``: runs of windows, by start, that have the same fingerprint; ``end`` is the last's."""
+
+    def runs(m: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(m) - 1)
+        begins = F.when(F.size(m) > 0, F.filter(places, lambda i: (i == 0) | (F.get(m, i) != F.get(m, F.greatest(i - 1, F.lit(0))))))
+
+        def bounds(b: Column) -> Column:
+            nexts = F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size(m)))
+            return F.zip_with(b, nexts, lambda x, y: F.struct(F.get(m, x).alias("fp"), x.alias("begin"), (y - 1).alias("end")))
+
+        return let(F.coalesce(begins, F.array().cast("array<int>")), lambda b: F.when(F.size(b) > 0, bounds(b)))
+
+    none = F.array().cast("array<struct<fp:bigint,begin:int,end:int>>")
+    return let(fingerprints(word_array, span, k), lambda m: F.coalesce(runs(m), none))
+
+
 def windows(bench: DataFrame, span: int, k: int) -> DataFrame:
     """``(fp, len, window, items, whole)`` of the benchmark's windows, each different window once; ``whole`` is the least
     number of words of an item with the window."""
@@ -74,7 +100,7 @@ def windows(bench: DataFrame, span: int, k: int) -> DataFrame:
     items = items.select("item_id", "w", F.least(F.size("w"), F.lit(span)).alias("len")).where("len > 0")
     at = items.select("item_id", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("at"))
     cut = at.select("item_id", "len", F.size("w").alias("whole"), F.slice("w", F.col("at"), F.col("len")).alias("w"))
-    fp = F.when(F.col("len") == span, winnow(F.col("w"), span, k)[0]).otherwise(F.xxhash64("w"))
+    fp = F.when(F.col("len") == span, fingerprints(F.col("w"), span, k)[0]).otherwise(F.xxhash64("w"))
     cut = cut.select("item_id", "len", "whole", F.array_join("w", " ").alias("window"), fp.alias("fp"))
     return cut.groupBy("fp", "len", "window").agg(F.collect_set("item_id").alias("items"), F.min("whole").alias("whole"))
 
@@ -83,45 +109,62 @@ def hits(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) ->
     """``(doc_id, n_words, spans, items, whole)``: ``spans`` are the hit windows as sorted ``(begin, end)`` word places, ``end``
     excluded; ``items`` the ids of benchmark items that have any; ``whole`` is the least number of words of an item of ``span``
     or more words that has any, null if none has."""
-    bench_windows = windows(bench, span, k).persist()
-    try:
-        short = sorted(r[0] for r in bench_windows.where(F.col("len") < span).select("len").distinct().collect())
-        small = bench_windows.count() <= BROADCAST_WINDOWS
-        side = F.broadcast if small else (lambda df: df)
-        split = docs.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w"))
-
-        def candidates(found: DataFrame, length: int) -> DataFrame:
-            """Rows of ``(doc_id, row, n_words, at, fp, w)`` whose fingerprint the benchmark has; ``at`` 0 always stays."""
-            fps = bench_windows.where(F.col("len") == length).select("fp").distinct()
-            if length == span:  # place 0 carries the document itself
-                fps = fps.union(docs.sparkSession.range(1).select(F.lit(0).cast("long"))).distinct()
-            window = F.when(F.col("at") > 0, F.array_join(F.slice("w", F.greatest("at", F.lit(1)), F.lit(length)), " "))
-            row = ["doc_id", "row", F.size("w").alias("n_words"), "at", F.lit(length).alias("len"), window.alias("window")]
-            if small:
-                return found.join(side(fps), "fp", "left_semi").select(*row)
-            return found.select("fp", *row).join(fps, "fp", "left_semi").drop("fp")
-
-        all_at = split.select("doc_id", "row", "w", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), winnow(F.col("w"), span, k))).alias("at", "fp"))
-        found = candidates(all_at, span)
-        for m in short:
-            places = F.when(F.size("w") >= m, F.sequence(F.lit(1), F.size("w") - (m - 1))).otherwise(F.array().cast("array<int>"))
-            at = split.select("doc_id", "row", "w", F.explode(places).alias("at"))
-            found = found.unionByName(candidates(at.withColumn("fp", F.xxhash64(F.slice("w", F.col("at"), F.lit(m)))), m))
-        exact = bench_windows.select("len", "window", "items", "whole")
-        hit = found.join(side(exact), ["len", "window"], "left")
-        is_hit = F.col("items").isNotNull()
-        begin = F.col("at") - 1
-        grouped = hit.where((F.col("at") == 0) | is_hit).groupBy("doc_id", "row").agg(
-            F.max("n_words").alias("n_words"),
-            F.count_if(F.col("at") == 0).alias("copies"),
-            F.sort_array(F.collect_set(F.when(is_hit, F.struct(begin.alias("begin"), (begin + F.col("len")).alias("end"))))).alias("spans"),
-            F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-            F.min(F.when(F.col("len") == span, F.col("whole"))).alias("whole"),
-        )
-        each = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-        return each.select("doc_id", "n_words", "spans", "items", "whole")
-    finally:
-        bench_windows.unpersist()
+    bench_windows = checkpointed(windows(bench, span, k))
+    short = sorted(r[0] for r in bench_windows.where(F.col("len") < span).select("len").distinct().collect())  # under span of them
+    size = bench_windows.agg(F.coalesce(F.sum(F.size("items") + 1), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BROADCAST_WINDOWS))
+    split = docs.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w"))
+    w = F.col("w")
+
+    def whole_items(m: int) -> Column:
+        places = F.when(F.size(w) >= m, F.sequence(F.lit(0), F.size(w) - m)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.lit(m).alias("len"), F.xxhash64(F.slice(w, i + 1, F.lit(m))).alias("fp"), i.alias("begin"), i.alias("end")))
+
+    def passed(block: int) -> DataFrame:
+        fps = bench_windows.where(F.pmod(F.xxhash64("fp"), F.lit(blocks)) == block).select("len", "fp").distinct()
+        kept = [F.transform(winnow(w, span, k), lambda r: F.struct(F.lit(span).alias("len"), r["fp"].alias("fp"), r["begin"].alias("begin"), r["end"].alias("end"))), *map(whole_items, short)]
+        if block == 0:  # length 0 carries the document itself
+            kept.append(F.array(F.struct(F.lit(0).alias("len"), F.lit(0).cast("long").alias("fp"), F.lit(0).alias("begin"), F.lit(0).alias("end"))))
+            fps = fps.union(docs.sparkSession.range(1).select(F.lit(0), F.lit(0).cast("long")))
+        each = split.select("doc_id", "row", F.size(w).alias("n_words"), F.explode(F.concat(*kept)).alias("r")).select("doc_id", "row", "n_words", "r.*")
+        return each.join(F.broadcast(fps), ["len", "fp"], "left_semi")
+
+    # A document's hits together, as far as a task has them; so a text that is repeated without end stays one row.
+    found = reduce(DataFrame.unionByName, map(passed, range(blocks)))
+    run = F.struct("len", "begin", "end")
+    found = checkpointed(
+        found.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("len") == 0).alias("copies"), F.collect_set(F.when(F.col("len") > 0, run)).alias("runs"))
+    )
+    with_runs = found.where(F.size("runs") > 0).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "runs")
+    rows, runs = with_runs.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
+    few = max(rows, runs // 16) <= BROADCAST_ROWS
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    texts = texts.join(F.broadcast(with_runs) if few else with_runs, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = texts.select("doc_id", "row", "runs", words(F.col("text")).alias("w"))
+
+    def extended(r: Column) -> Column:
+        """All windows of a run."""
+        return F.transform(F.sequence(r["begin"], r["end"]), lambda i: F.struct(r["len"].alias("len"), i.alias("begin"), F.array_join(F.slice(w, i + 1, r["len"]), " ").alias("window")))
+
+    spread = texts.select("doc_id", "row", F.explode(F.flatten(F.transform("runs", extended))).alias("x")).select("doc_id", "row", "x.*")
+    own = bench_windows.select("len", "window", "items", "whole")
+    hit = spread.join(F.broadcast(own) if blocks == 1 else own, ["len", "window"])
+    place = F.struct("begin", (F.col("begin") + F.col("len")).alias("end"))
+    hit = hit.groupBy("doc_id", "row").agg(
+        F.sort_array(F.collect_set(place)).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        F.min(F.when(F.col("len") == span, F.col("whole"))).alias("whole"),
+    )
+    none = found.select("doc_id", "row", "n_words", "copies", F.lit(None).cast(hit.schema["spans"].dataType).alias("spans"), F.lit(None).cast(hit.schema["items"].dataType).alias("items"), F.lit(None).cast("int").alias("whole"))
+    both = none.unionByName(hit.select("doc_id", "row", F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("long").alias("copies"), "spans", "items", "whole"))
+    grouped = both.groupBy("doc_id", "row").agg(
+        F.max("n_words").alias("n_words"),
+        F.max("copies").alias("copies"),
+        *[F.coalesce(F.first(c, ignorenulls=True), F.array().cast(hit.schema[c].dataType)).alias(c) for c in ("spans", "items")],
+        F.max("whole").alias("whole"),
+    )
+    each = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select("doc_id", "n_words", "spans", "items", "whole")
 
 
 def covered(spans: Column) -> Column:
