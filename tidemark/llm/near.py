@@ -1,13 +1,18 @@
-"""Near duplicates by the Jaccard similarity of five-word shingles, for the pipeline.
+"""SimHash near-duplicates at a given Jaccard similarity of five-word shingles: the pipeline's form of operator 2.
 
 Links: texts whose sets of shingles have a Jaccard similarity of 4/5 or more.  Classes: what links reach.  A link is
-always decided by the whole sets; the index only says which texts to compare.
+always decided by the whole sets; the indexes only say which texts to compare.
 
-Texts with the same words in the same order are one node, so exact copies never multiply.  A node has ``BANDS`` keys, each
-of ``ROWS`` min-hashes; nodes with a common key are tied to the smallest of them, and what ties reach is a cluster.  A pair
-of similarity s has no common key with probability (1 - s**ROWS)**BANDS: 3 in a million at 0.8, less above.  A
-cluster's texts are then compared exactly, all with all, but texts that already have their class leave the index.
-Clusters of more than ``PART`` shingles are cut into parts, and each pair of parts is a task's work.
+Texts with the same words in the same order are one node, so exact copies never multiply.  Nodes are tied in two ways:
+
+* by the Gray-order index of :mod:`simhash`, over the fingerprints of the same five-word shingles, at its radius;
+* by ``BANDS`` keys of ``ROWS`` min-hashes each, a node to the smallest with the same key.  At a similarity of 0.8 fingerprints
+  of 64 bits differ in about ten, and a radius that finds such pairs would need buckets that grow with the square of the table;
+  so the index alone can't give right results there.  A pair of similarity s has no common key with probability
+  (1 - s**ROWS)**BANDS: 3 in a million at 0.8, less above.
+
+What ties reach is a cluster.  A cluster's texts are then compared exactly, all with all, but texts that already have their
+class leave the comparison.  Clusters of more than ``PART`` shingles are cut into parts, and each pair of parts is a task's work.
 
 Defined results: words are what ASCII white space parts, with A-Z lower-cased; texts of fewer than five words are one
 shingle; null texts and texts without words are one class; repeated rows are kept, each with its class; a null id counts
@@ -20,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, text_slices
+from . import simhash
+from .common import checkpointed, free_name, text_slices
 from .simhash import components
 
 SHINGLE = 5
@@ -99,24 +105,31 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, node, size, bands)``, a row for each row; a map without a shuffle."""
+    """``(id_col, row, node, fp, size, bands)``, a row for each row; a map without a shuffle.  ``row`` is a hash of the text as
+    it stands, ``node`` one of its words, ``fp`` its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for part, texts in text_slices(batches, text_col):
-            nodes, sizes, keys = [], [], []
+            nodes, fps, sizes, keys = [], [], [], []
             for text in texts:
                 words = split(text)
                 found = shingles(words, known)
                 nodes.append(node_of(words))
+                fps.append(simhash.of_hashes(found))
                 sizes.append(len(found))
                 keys.append(bands(found))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "node", "size", "bands"]
+                [part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in (nodes, fps, sizes)), pa.array(keys, pa.list_(pa.int64()))],
+                names=[id_col, "row", "node", "fp", "size", "bands"],
             )
 
-    schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("node long, size long, bands array<long>").fields])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("row long, node long, fp long, size long, bands array<long>").fields])
+    return docs.select(id_col, row_of(text_col).alias("row"), text_col).mapInArrow(run, schema)
+
+
+def row_of(text_col: str = "text") -> Column:
+    return F.xxhash64(text_col)
 
 
 class _Index:
@@ -191,11 +204,17 @@ def compare(clusters: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, part: int = PART, text_col: str = "text") -> DataFrame:
-    """``(a, b)``: links between the different nodes ``nodes(node, size, bands)`` of ``docs`` that connect whatever is in reach."""
+    """``(a, b)``: links between the different nodes ``nodes(node, fp, size, bands)`` of ``docs`` that connect whatever is in
+    reach."""
     routed = nodes.select("node", F.explode("bands").alias("key"))
     shared = routed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
     ties = routed.join(checkpointed(shared), "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    found = components(ties).join(nodes.select("node", "size"), "node").select("node", F.col("root").alias("cluster"), "size")
+    by_fp = checkpointed(nodes.where("size > 0").groupBy("fp").agg(F.min("node").alias("to")))
+    near = simhash.links(by_fp.select("fp"))
+    a, b = (by_fp.select(F.col("fp").alias(c), F.col("to").alias(f"_{c}")) for c in "ab")
+    ties = ties.unionByName(near.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    same = nodes.where("size > 0").select("fp", "node").join(by_fp, "fp").where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b"))
+    found = components(ties.unionByName(same)).join(nodes.select("node", "size"), "node").select("node", F.col("root").alias("cluster"), "size")
     found = checkpointed(found)
     large = found.groupBy("cluster").agg(F.sum("size").alias("size")).where(F.col("size") > part)
     large = checkpointed(large.select("cluster", F.ceil(F.col("size") / part).cast("long").alias("parts")))
@@ -219,12 +238,31 @@ def links(docs: DataFrame, nodes: DataFrame, part: int = PART, text_col: str = "
     return compare(one.select("cluster", F.explode("pairs").alias("pair"), "node", "text"))
 
 
-def classes(docs: DataFrame, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, node, component_id)`` for every row of ``docs``."""
+def _clustered(docs: DataFrame, part: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(id_col, row, node)`` of every row, and ``(node, least)``: the first row of each node's class."""
     rows = checkpointed(prints(docs, id_col, text_col))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min(id_col).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col("row").alias("row")))
+    nodes = checkpointed(rows.groupBy("node").agg(first.alias("least"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")]))
     found = components(links(docs, nodes, part, text_col))
-    smallest = checkpointed(found.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component_id")))
-    joined = found.join(smallest, "root").select("node", "component_id")
-    alone = nodes.join(found.select("node"), "node", "left_anti").select("node", F.col("least").alias("component_id"))
-    return rows.select(id_col, "node").join(joined.unionByName(alone), "node").select(id_col, "node", "component_id")
+    smallest = checkpointed(found.join(nodes, "node").groupBy("root").agg(F.min("least").alias("least")))
+    joined = found.join(smallest, "root").select("node", "least")
+    alone = nodes.join(found.select("node"), "node", "left_anti").select("node", "least")
+    return rows.select(id_col, "row", "node"), joined.unionByName(alone)
+
+
+def classes(docs: DataFrame, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, node, component_id)`` for every row of ``docs``."""
+    rows, firsts = _clustered(docs, part, id_col, text_col)
+    return rows.join(firsts.select("node", F.col("least.id").alias("component_id")), "node").select(id_col, "node", "component_id")
+
+
+def one_of_each(docs: DataFrame, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: the one with the smallest id, null after all others, then the smallest hash of
+    its text.  Of rows that are alike in both, the first by their other columns stays."""
+    _, firsts = _clustered(docs, part, id_col, text_col)
+    firsts = firsts.select(F.col("least.id").alias("_id"), F.col("least.row").alias("_row")).distinct()
+    kept = docs.join(firsts, docs[id_col].eqNullSafe(F.col("_id")) & (row_of(text_col) == F.col("_row")), "left_semi").select(*docs.columns)
+    others = F.to_json(F.struct(*[F.col(c) for c in sorted(docs.columns) if c not in (id_col, text_col)], F.lit(0).alias("_")))
+    place = F.row_number().over(Window.partitionBy(id_col, row_of(text_col)).orderBy(others))
+    name = free_name(docs, "place")
+    return kept.withColumn(name, place).where(F.col(name) == 1).drop(name)

@@ -53,6 +53,11 @@ def _counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes as a signed 64-bit number: the bits set in over half of them."""
+    return int(np.packbits(_counts(hashes) * 2 > len(hashes)).view(">u8")[0].astype(np.int64)) if len(hashes) else 0
+
+
 def fingerprint(text: str | None) -> int:
     """The text's fingerprint as a signed 64-bit number."""
     words = text.encode().lower().split() if text else []  # of bytes: A-Z, and ASCII white space
@@ -65,7 +70,7 @@ def fingerprint(text: str | None) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate(([0], ends[: len(words) - SHINGLE] + 1)).tolist()
     hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, ends[SHINGLE - 1 :].tolist())], np.uint64)
-    return int(np.packbits(_counts(hashes) * 2 > len(hashes)).view(">u8")[0].astype(np.int64))
+    return of_hashes(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
