@@ -1,8 +1,11 @@
 """License scan: base phrases, and an exact set-similarity join of text blocks with license templates.
 
-Words are runs of ASCII letters and digits and of any characters beyond ASCII, with A-Z lower-cased.  A block is a
-window of ``2 * L`` words at every ``L``-th word, ``L`` being the longest template's number of words; so any run of
-``L`` words lies in one block.  A block meets a template if it holds at least ``threshold`` of its different words.
+Words are runs of ASCII letters and digits and of any characters beyond ASCII, with A-Z lower-cased.  A template has blocks of
+its own: windows of ``L`` words, ``L`` being its number of words and ``SLACK`` more, at every ``SLACK + 1``-th word, so that
+any run of its length lies in one block whole.  A block meets a template if it holds at least ``threshold`` of its different words,
+and all words that tell its license from others, which stand in capitals in the template.  So words scattered over a text
+are not a license, nor is the sentence of one license another.  Where overlapping blocks meet templates of two labels and
+one's telling words are some of the other's, as those of cc-by are of cc-by-nc, it gives way.
 
 The join is exact.  Template words are ordered by how many documents hold them, rarest first, over the whole table.
 A block that meets a template of n words must hold one of its first ``n - ceil(threshold * n) + 1`` (prefix filter),
@@ -18,6 +21,7 @@ repeated rows are kept; an empty table gives an empty table; other columns of th
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import ceil
@@ -32,22 +36,30 @@ from .common import text_slices
 #: Phrase: label, of the contract (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: (label, text) of the templates that blocks are held against (fixed values).
+#: (label, text) of the templates that blocks are held against (fixed values); in capitals what a block can't do without.
 TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("public-domain", "this is free and unencumbered software released into the public domain"),
+    ("apache", "licensed under the APACHE license version 2 0"),
+    ("apache", "released under the APACHE license"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www APACHE org licenses license 2 0"),
+    ("bsd", "REDISTRIBUTION and use in SOURCE and BINARY forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "released under the BSD license"),
+    ("cc-by", "licensed under CC BY 4 0"),
+    ("cc-by", "this work is licensed under a CREATIVE COMMONS ATTRIBUTION 4 0 international license"),
+    ("cc-by-nc", "licensed under CC BY NC 4 0"),
+    ("cc-by-nc", "this work is licensed under a CREATIVE COMMONS ATTRIBUTION NONCOMMERCIAL 4 0 international license"),
+    ("cc-by-sa", "licensed under CC BY SA 4 0"),
+    ("cc-by-sa", "this work is licensed under a CREATIVE COMMONS ATTRIBUTION SHAREALIKE 4 0 international license"),
+    ("gpl", "this work is licensed under the gnu GENERAL PUBLIC license version 3"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu GENERAL PUBLIC license as published by the free software foundation"),
+    ("isc", "PERMISSION to use copy modify and or DISTRIBUTE this SOFTWARE for any PURPOSE with or without fee is hereby GRANTED"),
+    ("mit", "released under the MIT license"),
+    ("mit", "PERMISSION is hereby GRANTED free of CHARGE to any person obtaining a copy of this software and associated documentation files"),
+    ("mpl", "this source code form is subject to the terms of the MOZILLA PUBLIC license"),
+    ("public-domain", "this is free and unencumbered software released into the PUBLIC DOMAIN"),
 ]
 THRESHOLD = 0.8
+#: Words by which a block is longer than its template.
+SLACK = 3
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in range(256)
@@ -59,7 +71,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def vocabulary(templates=None) -> list[str]:
-    return sorted({w for _, t in (TEMPLATES if templates is None else templates) for w in t.split()})
+    return sorted({w for _, t in (TEMPLATES if templates is None else templates) for w in t.lower().split()})
 
 
 def frequencies(docs: DataFrame, text_col: str = "text", templates=None) -> dict[str, int]:
@@ -82,16 +94,18 @@ class Scanner:
         templates = TEMPLATES if templates is None else templates
         order = sorted(vocabulary(templates), key=lambda w: (frequency.get(w, 0), w))
         self.place = {w.encode(): k for k, w in enumerate(order)}
-        self.sets = [sorted({self.place[w.encode()] for w in t.split()}) for _, t in templates]
+        self.sets = [sorted({self.place[w.lower().encode()] for w in t.split()}) for _, t in templates]
+        self.must = [frozenset(self.place[w.lower().encode()] for w in t.split() if w.isupper()) for _, t in templates]
         self.labels = [label for label, _ in templates]
         self.need = [ceil(threshold * len(s) - 1e-9) for s in self.sets]
-        self.least = min(self.need)
-        self.step = max(len(t.split()) for _, t in templates)
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
-        for k, s in enumerate(self.sets):
-            for i, w in enumerate(s[: len(s) - self.need[k] + 1]):
-                self.prefix.setdefault(w, []).append((k, i))
-        self.prefix_words = frozenset(order[w].encode() for w in self.prefix)
+        #: By block length: the least words of any template of that length, and its prefix words with their templates.
+        self.by_length: dict[int, tuple[int, dict[int, list[tuple[int, int]]]]] = {}
+        for k, (_, t) in enumerate(templates):
+            least, prefix = self.by_length.get(len(t.split()) + SLACK, (1 << 30, {}))
+            for i, w in enumerate(self.sets[k][: len(self.sets[k]) - self.need[k] + 1]):
+                prefix.setdefault(w, []).append((k, i))
+            self.by_length[len(t.split()) + SLACK] = (min(least, self.need[k]), prefix)
+        self.prefix_words = frozenset(order[w].encode() for _, prefix in self.by_length.values() for w in prefix)
         self.phrases = [(f" {p} ".encode(), label) for p, label in BASE.items()]
 
     def base(self, found: list[bytes]) -> list[tuple[int, str]]:
@@ -105,23 +119,22 @@ class Scanner:
                 at = line.find(phrase, at + 1)
         return sorted(out)
 
-    def block(self, words_of_block: list[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of all that the block meets."""
-        place = self.place
-        own = sorted({place[w] for w in words_of_block if w in place})
-        if len(own) < self.least:
+    def block(self, own: list[int], least: int, prefix: dict[int, list[tuple[int, int]]]) -> list[tuple[int, float]]:
+        """(template, containment) of all that a block with the sorted vocabulary words ``own`` meets."""
+        if len(own) < least:
             return []
         ruled: set[int] = set()
         out = []
         for j, w in enumerate(own):
-            for k, i in self.prefix.get(w, ()):
+            for k, i in prefix.get(w, ()):
                 if k in ruled:
                     continue
                 ruled.add(k)  # the first shared word decides: none of a smaller place is shared
                 if 1 + min(len(self.sets[k]) - i - 1, len(own) - j - 1) < self.need[k]:
                     continue
-                shared = len(set(own).intersection(self.sets[k]))
-                if shared >= self.need[k]:
+                held = set(own)
+                shared = len(held.intersection(self.sets[k]))
+                if shared >= self.need[k] and self.must[k] <= held:
                     out.append((k, shared / len(self.sets[k])))
         return out
 
@@ -129,12 +142,21 @@ class Scanner:
         """(begin, end, label, containment) of every block that meets a template."""
         if self.prefix_words.isdisjoint(found):
             return []
-        out, step = [], self.step
-        for s in range(0, max(1, len(found) - step), step):
-            part = found[s : s + 2 * step]
-            if not self.prefix_words.isdisjoint(part):
-                out += [(s, s + len(part), self.labels[k], c) for k, c in self.block(part)]
-        return out
+        place, met, step = self.place, [], SLACK + 1
+        known = [(i, place[w]) for i, w in enumerate(found) if w in place]
+        at = [i for i, _ in known]
+        for length, (least, prefix) in self.by_length.items():
+            last = -(-max(0, len(found) - length) // step)
+            starts = {s * step for i, w in known if w in prefix for s in range(max(0, -(-(i - length + 1) // step)), min(i // step, last) + 1)}
+            for s in sorted(starts):
+                own = {w for _, w in known[bisect_left(at, s) : bisect_left(at, s + length)]}
+                met += [(s, min(len(found), s + length), k, c) for k, c in self.block(sorted(own), least, prefix)]
+        return sorted({(s, e, self.labels[k], c) for s, e, k, c in met if not any(self._better(k, s, e, *m) for m in met)})
+
+    def _better(self, k: int, s: int, e: int, s2: int, e2: int, k2: int, c2: float) -> bool:
+        """Whether the match of ``k2`` at an overlapping place takes the place of ``k``: another label's, with all distinguishing
+        words of ``k`` and more."""
+        return self.labels[k] != self.labels[k2] and s < e2 and s2 < e and self.must[k] < self.must[k2]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=None) -> DataFrame:
