@@ -8,9 +8,10 @@ of the merge list, so any later encoding passes through one of the last ``lookah
 the chains of all those positions share cannot change any more and are emitted.  Memory is the window of
 unsettled positions, whatever the length of the text.
 
-Decoding is a state machine over ids: vocabulary entries are joined as the tokenizer file's decoder says
-(none: by one space), and byte-level entries pass through an incremental UTF-8 decoder that holds back
-incomplete sequences.
+A text is read in blocks that end before a space, and ids are decoded in blocks, so what is held besides the text, its ids and
+a bounded memory of short pieces doesn't grow.  Decoding is a state machine over ids: entries are joined as the tokenizer
+file's decoder says (none: by one space); ``plain`` is the text that the ids' bytes are, an incremental UTF-8 machine that
+holds incomplete characters back.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; rows repeat as they
 are; an empty table gives an empty table; columns of the input that have an output's name are replaced.
@@ -25,6 +26,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -36,10 +38,14 @@ from .common import text_slices
 
 #: Unicode White_Space, as the tokenizer's regular expressions take \s.
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Pieces longer than this stream through the transducer instead of being remembered.
-_LONG_PIECE = 96
-#: Pieces remembered in a worker; past this many the memory starts anew.
-_MEMORY = 900_000
+#: Pieces longer than this are not remembered, and settle as they go.
+_LONG_PIECE = 64
+#: Pieces, and pairs of tokens, remembered in a worker; past this many the memory starts anew.
+_MEMORY = 250_000
+#: Characters of a text that are read at once; a block ends at the next space.
+_BLOCK = 1 << 16
+#: Ids that are decoded at once.
+_IDS = 1 << 14
 _SEPARATORS = re.compile("[\x1c-\x1f]").search
 
 
@@ -113,42 +119,44 @@ class MergeTable:
         """Whether two neighbouring tokens stay as they are when their symbols are merged anew."""
         got = self._apart.get((a << 20) + b)
         if got is None:
-            if len(self._apart) > 1_000_000:
+            if len(self._apart) > _MEMORY:
                 self._apart.clear()
             got = (a, b) not in self.rank and self.merge([*self.symbols(a), *self.symbols(b)]) == [a, b]
             self._apart[(a << 20) + b] = got
         return got
 
-    def encode_piece(self, piece: str) -> list[int]:
-        """A short piece at once: the last token of each prefix, then the chain back from the end."""
-        n = len(piece)
-        whole = self.final.get(piece)
-        if whole is not None and self.merge_reaches(whole):
-            return [whole]
-        inner, final, apart, deep = self.inner, self.final, self._apart, self.lookahead
-        last = [-1] * (n + 1)
-        back = [0] * (n + 1)
-        for i in range(1, n + 1):
-            have = final if i == n else inner
+    def advance(self, window: str, last: list[int], back: list[int], before: int, end: bool) -> None:
+        """The transducer's step: the last token of each prefix of ``window`` that ``last`` lacks, and in ``back`` where it
+        begins.  ``before`` is the settled token in front of the window, -1 if there is none; ``end``: the piece ends with it."""
+        inner, final, apart, deep, n = self.inner, self.final, self._apart, self.lookahead, len(window)
+        for i in range(len(last), n + 1):
+            have = final if end and i == n else inner
             likely = back[i - 1]  # the token before, longer by a symbol; else the symbol alone; else any other
             for j in (likely, i - 1, *range(likely + 1, i - 1), *range(max(0, i - deep), likely)):
-                t = have.get(piece[j:i])
+                t = have.get(window[j:i])
                 if t is None:
                     continue
-                if j:
-                    ok = apart.get((last[j] << 20) + t)
-                    if not (self.apart(last[j], t) if ok is None else ok):
+                p = last[j] if j else before
+                if p >= 0:
+                    ok = apart.get((p << 20) + t)
+                    if not (self.apart(p, t) if ok is None else ok):
                         continue
                 elif not self.merge_reaches(t):
                     continue
-                last[i], back[i] = t, j
+                last.append(t)
+                back.append(j)
                 break
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i = back[i]
-        out.reverse()
-        return out
+            else:
+                raise ValueError("a symbol is missing from the vocabulary")
+
+    def encode_piece(self, piece: str) -> list[int]:
+        """A piece of at most two look-aheads: nothing settles before its end."""
+        whole = self.final.get(piece)
+        if whole is not None and self.merge_reaches(whole):
+            return [whole]
+        last, back = [-1], [0]
+        self.advance(piece, last, back, -1, True)
+        return _chain(last, back, len(piece))
 
     def merge_reaches(self, token: int) -> bool:
         """Whether merging a token's own symbols gives that token."""
@@ -158,63 +166,37 @@ class MergeTable:
         return got
 
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Tokens of a piece of any length, as soon as they are stable."""
-        deep = self.lookahead
-        window = ""  # the symbols after ``base``
-        last: list[int] = [-1]  # by position after base: the last token, and where it begins
-        back: list[int] = [0]
-        before = -1  # the settled token that ends at base
-        held: str | None = None
-
-        def step(c: str, end: bool) -> None:
-            nonlocal window
-            window += c
-            i = len(window)
-            have = self.final if end else self.inner
-            for j in range(max(0, i - deep), i):
-                t = have.get(window[j:i])
-                p = last[j] if j else before
-                if t is not None and (self.apart(p, t) if p >= 0 else self.merge_reaches(t)):
-                    last.append(t)
-                    back.append(j)
-                    return
-            raise ValueError("a symbol is missing from the vocabulary")
-
-        def settle() -> list[int]:
-            """Tokens that the chains of all the last ``deep`` positions share."""
-            nonlocal window, last, back, before
-            i = len(window)
-            live = set(range(max(0, i - deep), i + 1))
-            while len(live) > 1:  # the largest goes back until all have met
+        """Tokens of a piece of any length, as soon as they are stable; only what isn't settled is held."""
+        deep, symbols = self.lookahead, iter(symbols)
+        window, last, back, before, held = "", [-1], [0], -1, ""
+        while block := held + "".join(islice(symbols, 2 * deep)):
+            if len(block) == len(held):  # the last symbol waited, since another token may end a piece
+                self.advance(window + held, last, back, before, True)
+                yield from _chain(last, back, len(window) + 1)
+                return
+            window, held = window + block[:-1], block[-1]
+            self.advance(window, last, back, before, False)
+            # Settled is what the chains of all the last positions share; the largest goes back until all have met.
+            live = set(range(max(0, len(window) - deep), len(window) + 1))
+            while len(live) > 1:
                 top = max(live)
                 live.discard(top)
                 live.add(back[top])
             (meet,) = live
-            out, k = [], meet
-            while k:
-                out.append(last[k])
-                k = back[k]
             if meet:
+                yield from _chain(last, back, meet)
                 before = last[meet]
                 window, last, back = window[meet:], [-1, *last[meet + 1 :]], [0, *(max(0, b - meet) for b in back[meet + 1 :])]
-            return out[::-1]
-
-        count = 0
-        for c in symbols:
-            if held is not None:
-                step(held, False)
-                count += 1
-                if not count % (2 * deep):
-                    yield from settle()
-            held = c
-        if held is None:
-            return
-        step(held, True)
-        out, k = [], len(window)
-        while k:
-            out.append(last[k])
-            k = back[k]
-        yield from reversed(out)
+
+
+def _chain(last: list[int], back: list[int], end: int) -> list[int]:
+    """The tokens that end at ``end``, back to the window's begin."""
+    out = []
+    while end:
+        out.append(last[end])
+        end = back[end]
+    out.reverse()
+    return out
 
 
 class WordBpe:
@@ -275,29 +257,62 @@ class WordBpe:
             return [c for c in self._space(text.lower()) if c]
         return text.lower().split()
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
+    def encode_stream(self, text: str | None) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, block by block; what is held doesn't grow with the text."""
         get = self._memory.__getitem__
-        if self._special is None or "<|" not in text:
-            return b"".join(map(get, self.chunks(text)))
-        out = []
-        for k, part in enumerate(self._special.split(text)):
-            if k % 2:
-                out.append(self.special[part].to_bytes(4, "little"))
-            elif part:
-                out.extend(map(get, self.chunks(part)))
-        return b"".join(out)
+        for block in _blocks(text or ""):
+            if self._special is None or "<|" not in block:
+                yield b"".join(map(get, self.chunks(block)))
+                continue
+            for k, part in enumerate(self._special.split(block)):
+                if k % 2:
+                    yield self.special[part].to_bytes(4, "little")
+                elif part:
+                    yield b"".join(map(get, self.chunks(part)))
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(self.encode_stream(text))
+
+    def decode_stream(self, ids: bytes) -> Iterator[str]:
+        """The text by the file's decoder, piece by piece.  With no decoder in the file: the entries, joined by one space."""
+        machine = None if self.decoder is None else ByteDecoder(self.text, self.table.suffix)
+        between = ""
+        for at in range(0, len(ids), 4 * _IDS):
+            numbers = array("I")
+            numbers.frombytes(ids[at : at + 4 * _IDS])
+            if machine is None:
+                yield between + " ".join(map(self.text.__getitem__, numbers))
+                between = " "
+            else:
+                yield machine.push(numbers)
+        if machine is not None:
+            yield machine.finish()
 
     def decode(self, ids: bytes) -> str:
-        """With no decoder in the file: the entries, joined by one space."""
-        numbers = array("I")
-        numbers.frombytes(ids)
-        if self.decoder is None:
-            return " ".join(map(self.text.__getitem__, numbers))
-        machine = ByteDecoder(self.text)
-        return "".join(map(machine.push, numbers)) + machine.finish()
+        return "".join(self.decode_stream(ids))
+
+    def plain(self, ids: bytes) -> str:
+        """What the ids say: the bytes behind the entries through the byte-to-text machine, a space after each word."""
+        machine, out = ByteDecoder(self.text, self.table.suffix), []
+        for at in range(0, len(ids), 4 * _IDS):
+            numbers = array("I")
+            numbers.frombytes(ids[at : at + 4 * _IDS])
+            out.append(machine.push(numbers))
+        out.append(machine.finish())
+        return "".join(out)
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """The text in blocks of some ``_BLOCK`` characters, each but the first beginning with a space: no piece, no control
+    string and no composed character crosses into it."""
+    start = 0
+    while len(text) - start > _BLOCK:
+        end = text.find(" ", start + _BLOCK)
+        if end < 0:
+            break
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text
 
 
 def _category(first: str) -> str:
@@ -314,18 +329,25 @@ def _category(first: str) -> str:
 
 
 class ByteDecoder:
-    """Incremental byte-to-text machine for byte-level vocabularies: bytes of an incomplete character wait."""
+    """Incremental byte-to-text machine for byte-level vocabularies: bytes of an incomplete character wait.  Entries that
+    aren't byte-level count as their own text; an end-of-word suffix becomes a space."""
+
+    def __init__(self, text: dict[int, str], suffix: str = ""):
+        byte = {s: b for b, s in enumerate(byte_symbols())}
+
+        class Bytes(dict):
+            def __missing__(self, token: int) -> bytes:
+                entry, after = text[token], b""
+                if suffix and entry.endswith(suffix):
+                    entry, after = entry[: -len(suffix)], b" "
+                found = self[token] = (bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()) + after
+                return found
 
-    def __init__(self, text: dict[int, str]):
-        self._text = text
-        self._byte = {s: b for b, s in enumerate(byte_symbols())}
+        self._bytes = Bytes()
         self._machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def push(self, token: int) -> str:
-        entry = self._text[token]
-        if all(c in self._byte for c in entry):
-            return self._machine.decode(bytes(self._byte[c] for c in entry))
-        return self.finish() + entry
+    def push(self, tokens: Iterable[int]) -> str:
+        return self._machine.decode(b"".join(map(self._bytes.__getitem__, tokens)))
 
     def finish(self) -> str:
         out = self._machine.decode(b"", True)
@@ -339,7 +361,8 @@ def tokenizer(path: str) -> WordBpe:
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, ids, decoded)``: ids as binary little-endian 32-bit integers and the decoded text.
+    """``(id_col, ids, decoded, plain)``: ids as binary little-endian 32-bit integers, the text as the file's decoder gives it,
+    and the text that the ids' bytes are.
 
     A map over the rows: no shuffle, so a lost executor costs only its own tasks, and skew of keys has no
     effect.  A worker holds one bounded slice of rows, the tokenizer and its piece memory.
@@ -349,10 +372,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         bpe = tokenizer(path)
         for part, texts in text_slices(batches, text_col):
             ids = [bpe.encode(t) for t in texts]
-            decoded = [bpe.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
+            texts = [pa.array([read(x) for x in ids], pa.string()) for read in (bpe.decode, bpe.plain)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), *texts], names=[id_col, "ids", "decoded", "plain"])
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("ids binary, decoded string, plain string").fields])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -363,4 +386,5 @@ def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("plain").cast("binary"), 256).alias("plain_sha256"),
     )
