@@ -39,6 +39,11 @@ def words(text: Column) -> Column:
     return F.when(spaced != "", F.split(spaced, " +")).otherwise(F.array().cast("array<string>"))
 
 
+def row_of() -> Column:
+    """Tells rows that share an id apart, by a hash of their texts."""
+    return F.xxhash64("text")
+
+
 def _paired(x: Column, shift: int, f) -> Column:
     """``f(x[i], x[i + shift])`` for all i that have both."""
     n = F.greatest(F.size(x) - shift, F.lit(0))
@@ -106,14 +111,14 @@ def windows(bench: DataFrame, span: int, k: int) -> DataFrame:
 
 
 def hits(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """``(doc_id, n_words, spans, items, whole)``: ``spans`` are the hit windows as sorted ``(begin, end)`` word places, ``end``
+    """``(doc_id, row, n_words, spans, items, whole)``: ``row`` is :func:`row_of` the text; ``spans`` are the hit windows as sorted ``(begin, end)`` word places, ``end``
     excluded; ``items`` the ids of benchmark items that have any; ``whole`` is the least number of words of an item of ``span``
     or more words that has any, null if none has."""
     bench_windows = checkpointed(windows(bench, span, k))
     short = sorted(r[0] for r in bench_windows.where(F.col("len") < span).select("len").distinct().collect())  # under span of them
     size = bench_windows.agg(F.coalesce(F.sum(F.size("items") + 1), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BROADCAST_WINDOWS))
-    split = docs.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w"))
+    split = docs.select("doc_id", row_of().alias("row"), words(F.col("text")).alias("w"))
     w = F.col("w")
 
     def whole_items(m: int) -> Column:
@@ -138,7 +143,7 @@ def hits(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) ->
     with_runs = found.where(F.size("runs") > 0).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "runs")
     rows, runs = with_runs.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
     few = max(rows, runs // 16) <= BROADCAST_ROWS
-    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    texts = docs.select("doc_id", row_of().alias("row"), "text")
     texts = texts.join(F.broadcast(with_runs) if few else with_runs, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = texts.select("doc_id", "row", "runs", words(F.col("text")).alias("w"))
 
@@ -164,7 +169,7 @@ def hits(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) ->
         F.max("whole").alias("whole"),
     )
     each = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return each.select("doc_id", "n_words", "spans", "items", "whole")
+    return each.select("doc_id", "row", "n_words", "spans", "items", "whole")
 
 
 def covered(spans: Column) -> Column:

@@ -1,7 +1,7 @@
 """URL filter: host and path rules, and a character language-model ratio for urls that no rule fits.
 
 Two variable-order Markov models over characters are learned from the urls that rules accept and reject (each
-different url once), with Witten-Bell smoothing from order 4 down to a uniform base.  A url's score is the
+different url once in either), with Witten-Bell smoothing from order 4 down to a uniform base.  A url's score is the
 difference of its log-likelihoods a character; urls at or above a threshold are accepted.  The threshold is the
 one with the best balanced accuracy on a fifth of the ruled urls that the models haven't seen.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, checkpointed
 
 #: (action, host, path prefix) of the contract (fixed values).
 RULES = [
@@ -33,6 +33,8 @@ RULES = [
 
 ORDER = 4
 _SYMBOLS = 64
+#: Log ratios are summed as whole numbers of this part of one, so that a sum doesn't depend on its order.
+_UNIT = float(1 << 30)
 _BEGIN, _STOP = "\u0002", "\u0003"
 #: Largest number of distinct grams whose scores are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_GRAMS = 400_000
@@ -106,21 +108,22 @@ def filter_urls(pages: DataFrame, rules=None) -> DataFrame:
     named = pages.select("page_id", model_text(F.col("url")).alias("text"), host.alias("host"), path.alias("path"))
     rule, action = judge(F.col("host"), F.col("path"), rules)
     named = named.withColumns({"rule": rule, "action": action})
-    distinct = named.groupBy("text").agg(F.max(F.col("action") == "allow").alias("good"), F.max(F.col("action").isNull()).alias("open"))
+    distinct = named.select("text", (F.col("action") == "allow").alias("good")).distinct()
     held = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
-    distinct = distinct.select("text", "good", "open", (F.col("good").isNotNull() & ~held).alias("train"))
-    each = distinct.select("text", "good", "open", "train", F.explode(grams(F.col("text"))).alias("gram"))
+    distinct = distinct.withColumn("train", F.col("good").isNotNull() & ~held)
+    each = distinct.select("text", "good", "train", F.explode(grams(F.col("text"))).alias("gram"))
     counted = each.groupBy("gram").agg(F.count_if(F.col("train") & F.col("good")).alias("a"), F.count_if(F.col("train") & ~F.col("good")).alias("r"))
     counted = counted.persist()
+    scores = gram_scores(counted).select("gram", F.round(F.col("llr") * _UNIT).cast("long").alias("llr")).persist()
     try:
-        scores = gram_scores(counted).persist()
         few = scores.count() <= BROADCAST_GRAMS
-        judged = each.where(F.col("open") | ~F.col("train")).join(F.broadcast(scores) if few else scores, "gram")
-        by_text = judged.groupBy("text").agg(F.avg("llr").alias("score"), F.first("good").alias("good"), F.first("train").alias("train")).persist()
-        cut = threshold(by_text.where(F.col("good").isNotNull() & ~F.col("train")))
-        out = named.join(by_text.select("text", "score"), "text", "left")
-        open_ = F.col("action").isNull()
-        verdict = F.when(~open_, F.col("action")).when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
-        return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(open_, F.col("score")).alias("score"))
+        judged = each.where(~F.col("train")).join(F.broadcast(scores) if few else scores, "gram")
+        by_text = checkpointed(judged.groupBy("text", "good").agg((F.sum("llr") / F.count("*") / _UNIT).alias("score")))
     finally:
+        scores.unpersist()
         counted.unpersist()
+    cut = threshold(by_text.where(F.col("good").isNotNull()))
+    out = named.join(by_text.where(F.col("good").isNull()).select("text", "score"), "text", "left")
+    open_ = F.col("action").isNull()
+    verdict = F.when(~open_, F.col("action")).when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(open_, F.col("score")).alias("score"))
