@@ -3,9 +3,9 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``.  All but the last return the columns of
 ``docs``; the last returns ids and digests.  Between stages rows are written and read again.
 
-Defined results: rows with null or empty text have quality 0 and go in the first stage; of rows that share an id one
-stays after near-deduplication, and rows with a null id, which nothing could name, go there; other columns are carried
-along; empty tables pass through.
+Defined results: rows with null or empty text have quality 0 and go in the first stage; rows that share an id but no class
+of near duplicates all stay, and so do rows with a null id that duplicate nothing; each is judged by its own text; other
+columns are carried along; empty tables pass through.
 """
 
 from __future__ import annotations
@@ -40,21 +40,20 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest id.  Near duplicates have a Jaccard
-    similarity of 0.8 or more over five-word shingles; op2's fingerprints would miss most of those below 0.96."""
-    classes = checkpointed(near.classes(docs).select("doc_id", "component_id"))
-    stays = classes.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(stays.distinct(), "doc_id", "left_semi").select(*docs.columns)
-    again = stays.groupBy("doc_id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each class of near duplicates stays, the one with the smallest id.  Near duplicates have a Jaccard
+    similarity of 0.8 or more over five-word shingles, which the whole sets decide; op2's index and min-hashes say what to
+    compare."""
+    return near.one_of_each(docs)
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(docs, read_table(spark, sf_dir, "benchmark"))
     passage = decontaminate.longest(F.col("spans")) >= F.least(F.lit(PASSAGE), F.col("whole"))  # least skips null
-    gone = checkpointed(found.where((F.size("items") >= 2) | passage).select("doc_id").distinct())
+    gone = found.where((F.size("items") >= 2) | passage).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    gone = checkpointed(gone.distinct())
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (decontaminate.row_of() == F.col("_row"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
