@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import bloom
 from .operators import lookup, mutate, resolve, scan
+from .operators.ordered import sum_before
 from .options import Options
 from .plans import compact, generations, manifest
 from .schema import DELETION, in_prefix
@@ -85,9 +86,18 @@ _META = f"""(select cast(0 as bigint) as level, generation + 1 as number, cast(s
  count(*) as entries, max(seq) as last_seq from {_GENS} m0 group by generation)"""
 #: A manifest of several levels: files of the level-0 list, dealt out to levels by number.
 _LEVELS = f"""(select number % 4 as level, number, file_size, smallest_key, largest_key from {_META} v0)"""
+
+
+def _cut(budget: int) -> str:
+    """Files of a compacted run: live rows in key order, cut by bytes; their key ranges are narrow."""
+    return f"""(select output + 1 as number, cast(sum(bytes) as bigint) as file_size, min(key) as smallest_key, max(key) as largest_key from (select key, bytes,
+ cast(floor(coalesce(sum(bytes) over (order by key rows between unbounded preceding and 1 preceding), 0) / {budget}.0) as bigint) as output from
+ (select key, octet_length(encode(key)) + octet_length(encode(value)) + 97 as bytes from {_live(_EVENTS)} n0) n1) n2 group by output)"""
+
+
 _SQL = {
     "mlog": _EVENTS, "clog": _ORDERS, "gens": _GENS, "meta": _META, "levels": _LEVELS, "top": _top(_EVENTS), "live": _live(_EVENTS), "corders": _live(_ORDERS),
-    "asof": _live(_EVENTS, "seq <= 5000"),
+    "asof": _live(_EVENTS, "seq <= 5000"), "small": _cut(1024), "large": _cut(2048),
 }
 
 
@@ -157,13 +167,18 @@ def kv_replay_idempotent(spark, sf_dir):
 
 @query("select key, seq, cast(type as bigint) as type, row_number() over (partition by key order by seq desc, type desc) as place from {mlog} t")
 def kv_internal_order(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"), F.desc("type")))
-    return event_log(spark, sf_dir).select("key", "seq", F.col("type").cast("long").alias("type"), place.cast("long").alias("place"))
+    """The place that the operator's order gives each row among those of its key."""
+    placed = checkpointed(resolve.internal_order(event_log(spark, sf_dir)).withColumn("_id", F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("_id"))
+    return placed.select("key", "seq", F.col("type").cast("long").alias("type"), place.cast("long").alias("place"))
 
 
-@query("select key, seq, count(*) as versions from {mlog} t group by key, seq having count(*) > 1")
+@query("select key, seq, cast(2 as bigint) as versions from {mlog} t where seq % 97 = 7")
 def kv_duplicate_versions(spark, sf_dir):
-    return resolve.duplicate_versions(event_log(spark, sf_dir))
+    """A log with every row twice, some of them changed the second time."""
+    log = event_log(spark, sf_dir)
+    again = log.withColumn("value", F.when(F.col("seq") % 97 == 7, F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    return resolve.duplicate_versions(log.unionByName(again))
 
 
 # --- lookups ------------------------------------------------------------------------------------------------------
@@ -315,25 +330,37 @@ def kv_live_files(spark, sf_dir):
 
 @query("select level, number, row_number() over (order by level, case when level = 0 then -number end, smallest_key, number) as place from {levels} t")
 def kv_probe_order(spark, sf_dir):
-    """A manifest is small: one row a file."""
-    order = Window.orderBy("level", F.when(F.col("level") == 0, -F.col("number")), "smallest_key", "number")
-    return manifest.probe_order(_levels(spark, sf_dir)).select("level", "number", F.row_number().over(order).cast("long").alias("place"))
+    """The place that the operator's order gives each file.  A manifest is small: one row a file."""
+    placed = checkpointed(manifest.probe_order(_levels(spark, sf_dir)).withColumn("_id", F.monotonically_increasing_id()))
+    return placed.select("level", "number", F.row_number().over(Window.orderBy("_id")).cast("long").alias("place"))
+
 
+def _cut_files(spark: SparkSession, sf_dir: str, budget: int) -> DataFrame:
+    cut = compact.output_numbers(flagship(spark, sf_dir), budget)
+    ranges = [F.sum("bytes").alias("file_size"), F.min("key").alias("smallest_key"), F.max("key").alias("largest_key")]
+    return cut.groupBy("output").agg(*ranges).select((F.col("output") + 1).alias("number"), "file_size", "smallest_key", "largest_key")
 
-@query("select number from {meta} t where smallest_key <= 'user:000001' and largest_key >= 'user:000001'")
+
+@query("select number from {small} t where smallest_key <= 'user:000075' and largest_key >= 'user:000075'")
 def kv_prune_point(spark, sf_dir):
-    return manifest.prune_point(_meta(spark, sf_dir), "user:000001").select("number")
+    return manifest.prune_point(_cut_files(spark, sf_dir, 1024), "user:000075").select("number")
 
 
-@query("select number from {meta} t where not (largest_key < 'user:000148' or smallest_key > 'user:000150')")
+@query("select number from {small} t where not (largest_key < 'user:000040' or smallest_key > 'user:000055')")
 def kv_prune_range(spark, sf_dir):
-    return manifest.prune_range(_meta(spark, sf_dir), "user:000148", "user:000150").select("number")
+    return manifest.prune_range(_cut_files(spark, sf_dir, 1024), "user:000040", "user:000055").select("number")
+
 
+@query("select number from {small} t where not (largest_key < 'user:000040' or smallest_key > 'user:000055')")
+def kv_candidates(spark, sf_dir):
+    """The same by the manifest's bisection."""
+    version = _version(_cut_files(spark, sf_dir, 1024).withColumn("level", F.lit(1)))
+    return spark.createDataFrame([(f.number,) for f in version.candidates(b"user:000040", b"user:000055")], "number long")
 
-@query("select a.number, b.number as other from {levels} a, {levels} b where a.level = 0 and b.level = 1 and not (b.largest_key < a.smallest_key or b.smallest_key > a.largest_key)")
+
+@query("select a.number, b.number as other from {small} a, {large} b where not (b.largest_key < a.smallest_key or b.smallest_key > a.largest_key)")
 def kv_overlaps(spark, sf_dir):
-    files = _levels(spark, sf_dir)
-    return manifest.overlaps(files.where("level = 0"), files.where("level = 1"))
+    return manifest.overlaps(_cut_files(spark, sf_dir, 1024), _cut_files(spark, sf_dir, 2048))
 
 
 def _version(files: DataFrame) -> manifest.Version:
@@ -348,27 +375,28 @@ def _picked(spark: SparkSession, plan: compact.Compaction | None) -> DataFrame:
     return spark.createDataFrame(rows, "level long, number long")
 
 
+def _two_levels(spark: SparkSession, sf_dir: str, upper: int, times: int = 1) -> DataFrame:
+    """Small files in a level, larger ones over the same keys, numbered from 1001 on, in the next."""
+    small = _cut_files(spark, sf_dir, 1024).select(F.lit(upper).cast("long").alias("level"), "number", (F.col("file_size") * times).alias("file_size"), "smallest_key", "largest_key")
+    large = _cut_files(spark, sf_dir, 2048).select(F.lit(upper + 1).cast("long").alias("level"), (F.col("number") + 1000).alias("number"), "file_size", "smallest_key", "largest_key")
+    return small.unionByName(large)
+
+
 @query(
-    """select level, number from {levels} t where (select count(*) from {levels} c where level = 0) >= 4 and (level = 0 or level = 1 and
-    not (largest_key < (select min(smallest_key) from {levels} a where level = 0) or smallest_key > (select max(largest_key) from {levels} b where level = 0)))"""
+    """with u as (select * from {small} s where number between 3 and 7) select cast(0 as bigint) as level, number from u union all select cast(1 as bigint), number + 1000 from {large} t
+    where not (largest_key < (select min(smallest_key) from u) or smallest_key > (select max(largest_key) from u))"""
 )
 def kv_pick_l0(spark, sf_dir):
-    return _picked(spark, compact.pick(_version(_levels(spark, sf_dir)), 4))
-
-
-_SIZED = """(select 1 + number % 2 as level, number, file_size * 20 as file_size, concat(smallest_key, lpad(cast(number as varchar(20)), 6, '0')) as smallest_key, concat(smallest_key, lpad(cast(number as varchar(20)), 6, '0'), 'z') as largest_key from {meta} s0)"""
+    files = _two_levels(spark, sf_dir, 0).where("level > 0 or number between 3 and 7")
+    return _picked(spark, compact.pick(_version(files), 4))
 
 
 @query(
-    "with f as (select * from " + _SIZED + " s1), p as (select * from f where level = 1 and (select sum(file_size) from f where level = 1) > 1048576 order by smallest_key, number limit 1) "
-    "select f.level, f.number from f, p where f.number = p.number or f.level = 2 and not (f.largest_key < p.smallest_key or f.smallest_key > p.largest_key)"
+    """with p as (select * from {small} s where (select sum(file_size) * 1000 from {small} z) > 1048576 order by smallest_key limit 1) select cast(1 as bigint) as level, number from p
+    union all select cast(2 as bigint), t.number + 1000 from {large} t, p where not (t.largest_key < p.smallest_key or t.smallest_key > p.largest_key)"""
 )
 def kv_pick_size(spark, sf_dir):
-    tag = F.concat("smallest_key", F.lpad(F.col("number").cast("string"), 6, "0"))
-    files = _meta(spark, sf_dir).select(
-        (F.lit(1) + F.col("number") % 2).alias("level"), "number", (F.col("file_size") * 20).alias("file_size"), tag.alias("smallest_key"), F.concat(tag, F.lit("z")).alias("largest_key")
-    )
-    return _picked(spark, compact.pick(_version(files)))
+    return _picked(spark, compact.pick(_version(_two_levels(spark, sf_dir, 1, times=1000))))
 
 
 @query("select key, seq, cast(type as bigint) as type, value from {top} t")
@@ -396,6 +424,16 @@ def kv_output_split(spark, sf_dir):
     return cut.groupBy("output").agg(F.count("*").alias("entries"), F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"))
 
 
+@query("select count(*) as entries, cast(0 as bigint) as overlapping, true as several from {live} t")
+def kv_split_disjoint(spark, sf_dir):
+    """What the store writes: parts of a run by key range, none of which overlaps another."""
+    rows = flagship(spark, sf_dir).withColumn("type", F.lit(1))
+    cut = checkpointed(compact.split(rows, 6 * 1024, 1024).withColumn("part", F.spark_partition_id()))
+    parts = cut.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))  # a row a file
+    parts = parts.withColumn("before", F.lag("high").over(Window.orderBy("low")))
+    return parts.agg(F.sum("n").alias("entries"), F.count_if(F.col("before") >= F.col("low")).alias("overlapping"), (F.count("*") > 1).alias("several"))
+
+
 @query(
     """select level, number, file_size from {levels} t where not (number % 3 = 0) union all select level + 1, number, file_size from {levels} u where number % 3 = 0"""
 )
@@ -426,17 +464,19 @@ def kv_last_sequence(spark, sf_dir):
 
 @query("select cast(0 as bigint) as false_negatives, count(*) as keys from (select distinct key from {mlog} t) k")
 def kv_bloom_no_false_negative(spark, sf_dir):
-    """A filter over the keys, built a run at a time, holds all of them."""
-    keys = event_log(spark, sf_dir).select("key").distinct().select(F.col("key").cast("binary").alias("key"), F.pmod(F.xxhash64("key"), F.lit(16)).alias("run"))
+    """A filter over the keys, built a run at a time, holds all of them.  Runs grow in number with the keys, not in size."""
+    keys = event_log(spark, sf_dir).select(F.col("key").cast("binary").alias("key")).distinct()
 
-    def build(rows):
-        import pandas as pd
+    def build(batches):
+        import pyarrow as pa
 
-        found = [bytes(k) for k in rows["key"]]
-        made = bloom.build(found)
-        return pd.DataFrame({"missed": [sum(not bloom.may_hold(k, made) for k in found)], "n": [len(found)]})
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 16):
+                found = batch.column(0).slice(at, 1 << 16).to_pylist()
+                held = bloom.may_hold_many(found, bloom.build(found))
+                yield pa.RecordBatch.from_arrays([pa.array([int((~held).sum())]), pa.array([len(found)])], names=["missed", "n"])
 
-    per_run = keys.groupBy("run").applyInPandas(build, "missed long, n long")
+    per_run = keys.mapInArrow(build, "missed long, n long")
     return per_run.agg(F.coalesce(F.sum("missed"), F.lit(0)).alias("false_negatives"), F.coalesce(F.sum("n"), F.lit(0)).alias("keys"))
 
 
@@ -455,11 +495,11 @@ def kv_crc_frames(spark, sf_dir):
 )
 def kv_latency_percentiles(spark, sf_dir):
     """By index, element floor(n * q) of the sorted values, from counts of each different value, which combine before
-    the shuffle."""
+    the shuffle.  The counts are summed along (type, value) by parts, so no task meets all values of a type."""
     counted = table(spark, sf_dir, "events").groupBy("event_type", "value").count()
-    own = Window.partitionBy("event_type")
-    upto = F.sum("count").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumns({"high": upto, "n": F.sum("count").over(own)})
+    placed = checkpointed(sum_before(counted, "count", "before", "event_type", "value"))
+    types = placed.groupBy("event_type").agg(F.min("before").alias("first"), F.sum("count").alias("n"))  # a row a type
+    placed = placed.join(F.broadcast(types), "event_type").withColumn("high", F.col("before") + F.col("count") - F.col("first"))
     pick = lambda q: F.min(F.when(F.col("high") > F.floor(F.col("n") * q), F.col("value")))
     return placed.groupBy("event_type").agg(pick(0.50).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
 
@@ -485,3 +525,41 @@ def kv_store_reopened(spark, sf_dir):
         rows = checkpointed(store.live().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")))
         store._files.delete("")
     return rows
+
+
+@query("select a.key, l.value from " + _ASKED + " a left join {live} l on l.key = a.key")
+def kv_store_multi_get(spark, sf_dir):
+    """Bulk lookups in a store's sorted files, which the manifest prunes for the keys."""
+    from .store import Store
+
+    where = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    with Store.open(spark, where, Options(max_file_size=2048)) as store:
+        store.apply_many(event_log(spark, sf_dir), "seq")
+        store.flush()
+        found = checkpointed(store.multi_get(_asked(spark)).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")))
+        store._files.delete("")
+    return found
+
+
+@query(
+    """select cast(place as bigint) as place, key, value from (select row_number() over (order by key) as place, key, value from {live} t) x where place <= 40
+    union all select cast(-place as bigint), key, value from (select row_number() over (order by key desc) as place, key, value from {live} t) y where place <= 40"""
+)
+def kv_cursor_walk(spark, sf_dir):
+    """A cursor's first forty entries, and its last forty backwards."""
+    from .store import Store
+
+    where, seen = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", []
+    with Store.open(spark, where, Options(max_file_size=2048)) as store:
+        store.apply_many(event_log(spark, sf_dir), "seq")
+        store.flush()
+        cursor = store.snapshot().cursor(page=16)
+        for start, step, sign in ((cursor.seek_to_first, cursor.next, 1), (cursor.seek_to_last, cursor.prev, -1)):
+            start()
+            for place in range(1, 41):
+                if not cursor.valid():
+                    break
+                seen.append((sign * place, cursor.key().decode(), cursor.value().decode()))
+                step()
+        store._files.delete("")
+    return spark.createDataFrame(seen, "place long, key string, value string")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,12 +34,34 @@ def murmur3(data: bytes, seed: int = SEED) -> int:
     return h ^ h >> 16
 
 
-def _probes(key: bytes, bits: int, k: int) -> Iterable[int]:
-    h = murmur3(key)
-    step = _turn(h, 15)  # 17 to the right
-    for _ in range(k):
-        yield h % bits
-        h = (h + step) & _32
+def murmur3_many(keys: list[bytes], seed: int = SEED) -> np.ndarray:
+    """:func:`murmur3` of each key, keys of one length at a time."""
+    out, sizes = np.zeros(len(keys), np.uint32), np.fromiter(map(len, keys), np.int64, len(keys))
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        data = np.frombuffer(b"".join(keys[i] for i in at), np.uint8).reshape(len(at), size)
+        h, whole = np.full(len(at), seed, np.uint32), size // 4 * 4
+        for block in np.ascontiguousarray(data[:, :whole]).view("<u4").T if whole else ():
+            h = _turns(h ^ (_turns(block * np.uint32(C1), 15) * np.uint32(C2)), 13) * np.uint32(5) + np.uint32(C3)
+        if size > whole:
+            rest = sum(data[:, whole + k].astype(np.uint32) << np.uint32(8 * k) for k in range(size - whole))
+            h = h ^ (_turns(rest * np.uint32(C1), 15) * np.uint32(C2))
+        h = h ^ np.uint32(size)
+        for shift, times in ((16, M1), (13, M2)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(times)
+        out[at] = h ^ (h >> np.uint32(16))
+    return out
+
+
+def _turns(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+
+def _probes(keys: list[bytes], bits: int, k: int) -> np.ndarray:
+    """Places of each key, a row a probe."""
+    h = murmur3_many(keys)
+    step = _turns(h, 15)  # 17 to the right
+    return (h + np.arange(k, dtype=np.uint32)[:, None] * step) % np.uint32(bits)
 
 
 def build(keys: Iterable[bytes], bits_per_key: int = 10) -> bytes:
@@ -46,26 +69,31 @@ def build(keys: Iterable[bytes], bits_per_key: int = 10) -> bytes:
     keys = list(keys)
     k = max(1, min(30, int(bits_per_key * 0.69)))
     size = (max(64, len(keys) * bits_per_key) + 7) // 8
-    bits = bytearray(size)
-    for key in keys:
-        for at in _probes(key, size * 8, k):
-            bits[at >> 3] |= 1 << (at & 7)
-    return bytes(bits) + bytes([k])
+    bits = np.zeros(size * 8, np.uint8)
+    bits[_probes(keys, size * 8, k)] = 1
+    return np.packbits(bits, bitorder="little").tobytes() + bytes([k])
 
 
-def may_hold(key: bytes, made: bytes) -> bool:
+def may_hold_many(keys: list[bytes], made: bytes) -> np.ndarray:
     """Never false for a key of the filter.  A filter that can't be read may hold anything."""
     if len(made) < 2 or made[-1] > 30:
-        return True
-    bits = (len(made) - 1) * 8
-    return all(made[at >> 3] >> (at & 7) & 1 for at in _probes(key, bits, made[-1]))
+        return np.ones(len(keys), bool)
+    at, held = _probes(keys, (len(made) - 1) * 8, made[-1]), np.frombuffer(made, np.uint8)
+    return (held[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8) & 1).all(axis=0)
+
+
+def may_hold(key: bytes, made: bytes) -> bool:
+    return bool(may_hold_many([key], made)[0])
 
 
 def may_hold_column(key: Column, made: bytes) -> Column:
-    """:func:`may_hold` over a column of binary keys, for a filter of bounded size."""
+    """:func:`may_hold` over a column of binary keys, for a filter of bounded size; false for null."""
 
     @F.pandas_udf("boolean")
     def probe(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda x: False if x is None else may_hold(bytes(x), made))
+        there = keys.notna()
+        out = pd.Series(False, keys.index)
+        out[there] = may_hold_many([bytes(x) for x in keys[there]], made)
+        return out
 
     return probe(key.cast("binary"))

@@ -9,6 +9,8 @@ from .resolve import latest
 
 #: Keys up to this number are broadcast to the log's scan; more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
+#: Keys up to this number are pushed down to a store's files one by one.
+PUSHED_KEYS = 10
 
 
 def get(log: DataFrame, key, as_of: int | None = None) -> DataFrame:

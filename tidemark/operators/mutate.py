@@ -21,9 +21,11 @@ def deletions(rows: DataFrame, like: DataFrame | None = None) -> DataFrame:
 
 
 def numbered(rows: DataFrame, base: int, *order: Column | str) -> DataFrame:
-    """``rows`` with ``seq`` from ``base`` + 1 on, in ``order``.  Rows are dealt out by range and sorted; only the number
+    """``rows`` with ``seq`` from ``base`` + 1 on, in ``order``; rows that tie come by their hash, so that a coarse order doesn't
+    put them all into one part.  Rows are dealt out by range and sorted; only the number
     of rows in each part reaches the driver.  The sorted rows are checkpointed, so that both passes see the same."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = (*order, F.xxhash64(*rows.columns))
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = checkpointed(dealt.withColumn("_id", F.monotonically_increasing_id()))
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))

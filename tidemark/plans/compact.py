@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from ..schema import DELETION, LEVELS
 from .manifest import FileMeta, Version
 
 
+#: Ranges up to this number are a condition; more are searched by bisection.
+FEW_RANGES = 32
+
+
 def level_limit(level: int) -> int:
     """Bytes above which a level is merged down: 1, 4, 16, 64, 256 MB for levels 1 to 5."""
     return 1 << (20 + 2 * (level - 1))
@@ -30,14 +36,14 @@ class Compaction:
 
 
 def pick(version: Version, max_level0_files: int = 4) -> Compaction | None:
-    """All of level 0 once it has enough files, else the first file of the first level that is too large; with all files
+    """All of level 0 once it has enough runs, else the first file of the first level that is too large; with all files
     of the level below that overlap."""
 
     def made(level: int, inputs: list[FileMeta]) -> Compaction:
         low, high = min(f.smallest_key for f in inputs), max(f.largest_key for f in inputs)
         return Compaction(level, tuple(inputs), tuple(f for f in version.at(level + 1) if f.overlaps(low, high)))
 
-    if version.level_files(0) >= max_level0_files:
+    if version.runs(0) >= max_level0_files:
         return made(0, version.at(0))
     for level in range(1, LEVELS - 1):
         if version.level_bytes(level) > level_limit(level):
@@ -49,29 +55,35 @@ def merged(rows: DataFrame, deeper: DataFrame | list[tuple[bytes, bytes]]) -> Da
     """The newest version of each key; a deletion goes only if no deeper file's range covers its key, since an older
     version could be in there.
 
-    Ranges given as a list are disjoint within a level and bounded by the store's manifest; they are merged to
-    disjoint ones, and a key finds its range by an range test.
+    Ranges, a row a file, are what the store's manifest holds on the driver anyway; they are merged to disjoint ones, and each
+    deletion's key finds its range by bisection.  Only keys of deletions leave the JVM for that.
     """
     top = newest(rows)
     if isinstance(deeper, DataFrame):
-        ranges = deeper.select(F.col("smallest_key").alias("_low"), F.col("largest_key").alias("_high"))
-        dead = F.col("type") == DELETION
-        covered = top.where(dead).join(ranges, (F.col("key") >= F.col("_low")) & (F.col("key") <= F.col("_high")), "left_semi")
-        return top.where(~dead).unionByName(covered)
-    joined: list[list[bytes]] = []
-    for low, high in sorted(deeper):
+        deeper = [(r[0], r[1]) for r in deeper.select("smallest_key", "largest_key").distinct().collect()]
+    joined: list[list] = []
+    for low, high in sorted((_as_bytes(a), _as_bytes(b)) for a, b in deeper):
         if joined and low <= joined[-1][1]:
             joined[-1][1] = max(joined[-1][1], high)
         else:
             joined.append([low, high])
-    inside = F.lit(False)
-    if len(joined) <= 64:
+    alive, key = F.col("type") != DELETION, F.col("key").cast("binary")
+    if len(joined) <= FEW_RANGES:
+        inside = F.lit(False)
         for low, high in joined:
-            inside = inside | F.col("key").between(F.lit(low), F.lit(high))
-        return top.where((F.col("type") != DELETION) | inside)
-    spark = rows.sparkSession
-    ranges = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in joined], "smallest_key binary, largest_key binary")
-    return merged(rows, ranges)
+            inside = inside | key.between(F.lit(low), F.lit(high))
+        return top.where(alive | inside)
+    lows, highs = [a for a, _ in joined], [b for _, b in joined]
+
+    @F.pandas_udf("boolean")
+    def covered(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: k is not None and (at := bisect_right(lows, bytes(k))) > 0 and bytes(k) <= highs[at - 1]).astype(bool)
+
+    return top.withColumn("_covered", covered(F.when(~alive, key))).where(alive | F.col("_covered")).drop("_covered")
+
+
+def _as_bytes(x) -> bytes:
+    return x.encode() if isinstance(x, str) else bytes(x)
 
 
 def split(rows: DataFrame, total_bytes: int, max_file_size: int) -> DataFrame:

@@ -7,7 +7,9 @@ a torn write and is left out; damage before it is :class:`Corruption`.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from zlib import crc32
 
 from pyspark.sql import DataFrame, Window
@@ -63,6 +65,8 @@ class Edit:
     kept_from: int | None = None
     deleted: list[tuple[int, int]] = field(default_factory=list)
     added: list[FileMeta] = field(default_factory=list)
+    #: The last batch of each stream that the version holds.
+    marks: dict[str, int] | None = None
 
     def line(self) -> str:
         body = {k: v for k, v in self.__dict__.items() if k not in ("deleted", "added") and v is not None}
@@ -88,6 +92,7 @@ class Version:
     last_sequence: int = 0
     #: Reads as of an earlier sequence number may miss versions that compaction has dropped.
     kept_from: int = 0
+    marks: tuple[tuple[str, int], ...] = ()
 
     def apply(self, edit: Edit) -> Version:
         """(files - deleted) + added; sequence and file numbers never go back."""
@@ -103,6 +108,7 @@ class Version:
             next_file=max([self.next_file, edit.next_file or 0, *(f.number + 1 for f in edit.added)]),
             last_sequence=max(self.last_sequence, edit.last_sequence or 0),
             kept_from=max(self.kept_from, edit.kept_from or 0),
+            marks=tuple(sorted((dict(self.marks) | (edit.marks or {})).items())),
         )
 
     def at(self, level: int) -> list[FileMeta]:
@@ -117,13 +123,33 @@ class Version:
     def live_numbers(self) -> set[int]:
         return {f.number for f in self.files}
 
+    def runs(self, level: int) -> int:
+        """Sorted runs of a level: files of one folder were written together and don't overlap."""
+        return len({f.path.rpartition("/")[0] or f.number for f in self.at(level)})
+
+    @cached_property
+    def _levels(self) -> tuple[list[FileMeta], list[tuple[list[FileMeta], list[bytes], list[bytes]]]]:
+        """Files that may overlap; and the others by level, in key order with their bounds."""
+        deep = [self.at(k) for k in range(1, LEVELS)]
+        return [f for f in self.files if f.level < 1], [(x, [f.smallest_key for f in x], [f.largest_key for f in x]) for x in deep if x]
+
     def candidates(self, low: bytes | None, high: bytes | None) -> list[FileMeta]:
-        """Files that can hold keys of [low, high]."""
-        return [f for f in self.files if f.overlaps(low, high)]
+        """Files that can hold keys of [low, high]: by a look at each where files may overlap, by bisection in the levels
+        below."""
+        shallow, deep = self._levels
+        found = [f for f in shallow if f.overlaps(low, high)]
+        for files, smallest, largest in deep:
+            first = 0 if low is None else bisect_left(largest, low)
+            found += files[first : len(files) if high is None else bisect_right(smallest, high)]
+        return found
+
+    def boundaries(self, low: bytes | None, high: bytes | None) -> list[bytes]:
+        """First keys of files strictly between two keys, in order: where a read of a range can be cut."""
+        return sorted({f.smallest_key for f in self.candidates(low, high) if (low is None or f.smallest_key > low) and (high is None or f.smallest_key < high)})
 
     def snapshot(self) -> Edit:
         """One edit that gives this version from nothing."""
-        return Edit(COMPARATOR, self.log_number, self.next_file, self.last_sequence, self.kept_from, [], list(self.files))
+        return Edit(COMPARATOR, self.log_number, self.next_file, self.last_sequence, self.kept_from, [], list(self.files), dict(self.marks))
 
     def levels(self) -> list[tuple[int, int, int]]:
         return [(k, self.level_files(k), self.level_bytes(k)) for k in range(LEVELS)]

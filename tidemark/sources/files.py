@@ -14,6 +14,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if where is None:
+        if not sc.master.startswith("local["):
+            raise StoreIOError("spark.checkpoint.dir isn't set; on a cluster it has to name a shared folder")
         where = tempfile.mkdtemp(prefix="tidemark-")
     return where
 

@@ -18,11 +18,14 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import Corruption, HistoryLost, InvalidArgument, StoreError, StoreIOError
+from .functions.cache import BlockCache
 from .operators import lookup, mutate, scan
 from .operators.resolve import latest
 from .options import Options
@@ -74,11 +77,41 @@ class Snapshot:
         row = lookup.get(self.log(k, k), bytearray(k), self.sequence).first()
         return None if row is None else bytes(row["value"])
 
+    def _asked(self, keys: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """The different keys, the log of the files that can hold any of them, and the number of keys.  Each key finds its files
+        by the manifest's bounds; a few keys are also pushed down, to row groups' statistics and Bloom filters."""
+        version = self.version
+        asked = keys.select(F.col("key").cast("binary").alias("key")).distinct()
+
+        def files_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, held, some = 0, set(), []
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    n += 1
+                    if k is not None:
+                        held.update((f.level, f.number) for f in version.candidates(k, k))
+                        if len(some) <= lookup.PUSHED_KEYS:
+                            some.append(k)
+            held = sorted(held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n]), pa.array([[x for x, _ in held]], pa.list_(pa.int64())), pa.array([[x for _, x in held]], pa.list_(pa.int64())), pa.array([some], pa.list_(pa.binary()))],
+                names=["n", "level", "number", "some"],
+            )
+
+        parts = asked.mapInArrow(files_of, "n long, level array<long>, number array<long>, some array<binary>").collect()  # a row a task
+        held = {x for r in parts for x in zip(r["level"], r["number"])}
+        n, log = sum(r["n"] for r in parts), self._store._read([f for f in version.files if (f.level, f.number) in held])
+        if held and n <= lookup.PUSHED_KEYS:
+            log = log.where(F.col("key").isin([x for r in parts for x in r["some"]]))
+        return asked, log, n
+
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        return lookup.multi_get(self.log(), keys.select(F.col("key").cast("binary").alias("key")), self.sequence)
+        asked, log, n = self._asked(keys)
+        return lookup.multi_get(log, asked, self.sequence, n)
 
     def contains(self, keys: DataFrame) -> DataFrame:
-        return lookup.contains(self.log(), keys.select(F.col("key").cast("binary").alias("key")), self.sequence)
+        asked, log, n = self._asked(keys)
+        return lookup.contains(log, asked, self.sequence, n)
 
     def cursor(self, page: int = 256) -> Cursor:
         return Cursor(self, page)
@@ -89,18 +122,28 @@ class Snapshot:
 
 
 class Cursor:
-    """Positions over a snapshot's live rows in key order.  It reads pages of ``page`` rows, one job each."""
+    """Positions over a snapshot's live rows in key order.  It reads pages of ``page`` rows, and for one page only the files
+    of as many key ranges, cut where files begin, as it takes to fill it.  Pages are kept in the store's block cache."""
 
     def __init__(self, snapshot: Snapshot, page: int):
         self._snapshot, self._size = snapshot, page
         self._rows: list = []
         self._at = 0
 
-    def _load(self, rows: DataFrame, descending: bool = False) -> None:
-        order = F.desc("key") if descending else F.asc("key")
-        self._rows = [(bytes(r["key"]), bytes(r["value"])) for r in rows.orderBy(order).limit(self._size).collect()]
-        if descending:
-            self._rows.reverse()
+    def _load(self, low: bytes | None = None, high: bytes | None = None, descending: bool = False) -> None:
+        cache, version = self._snapshot._store.cache, self._snapshot.version
+        name = (tuple(f.path for f in version.candidates(low, high)), self._snapshot.sequence, self._size), (low, high, descending)
+        self._rows = cache.lookup(*name)
+        if self._rows is None:
+            self._rows, order = [], F.desc("key") if descending else F.asc("key")
+            for a, b in _stretches(version.boundaries(low, high), low, high, descending):
+                rows = self._snapshot.live(a, b).orderBy(order).limit(self._size - len(self._rows)).collect()
+                self._rows += [(bytes(r["key"]), bytes(r["value"])) for r in rows]
+                if len(self._rows) >= self._size:
+                    break
+            if descending:
+                self._rows.reverse()
+            cache.insert(*name, self._rows, sum(len(k) + len(v) + 64 for k, v in self._rows))
         self._at = len(self._rows) - 1 if descending else 0
 
     def valid(self) -> bool:
@@ -121,31 +164,43 @@ class Cursor:
         """Errors raise where they happen; there are none to report later."""
 
     def seek_to_first(self) -> None:
-        self._load(self._snapshot.live())
+        self._load()
 
     def seek_to_last(self) -> None:
-        self._load(self._snapshot.live(), descending=True)
+        self._load(descending=True)
 
     def seek(self, target) -> None:
-        self._load(self._snapshot.live(low=target))
+        self._load(low=_bytes(target))
 
     def next(self) -> None:
         key = self._row()[0]
         self._at += 1
         if self._at == len(self._rows):
-            self._load(self._snapshot.live(low=key + b"\0"))
+            self._load(low=key + b"\0")
 
     def prev(self) -> None:
         key = self._row()[0]
         self._at -= 1
         if self._at < 0:
-            self._load(self._snapshot.live(high=key), descending=True)
+            self._load(high=key, descending=True)
+
+
+def _stretches(cuts: list[bytes], low: bytes | None, high: bytes | None, descending: bool) -> Iterator[tuple[bytes | None, bytes | None]]:
+    """[low, high) in ranges of one, two, four and so on neighbouring cuts, from its begin or from its end."""
+    edges, at, size = [low, *cuts, high], 0, 1
+    if descending:
+        edges.reverse()
+    while at < len(edges) - 1:
+        end = min(at + size, len(edges) - 1)
+        yield (edges[end], edges[at]) if descending else (edges[at], edges[end])
+        at, size = end, 2 * size
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options):
         self.spark, self.path, self.options = spark, path.rstrip("/"), options
         self._files = Files(spark, self.path)
+        self.cache = BlockCache(self.options.block_cache_capacity_bytes)
         self._buffer: list[tuple[bytes, int, bytes]] = []
         self._buffered = 0
         self._owner = uuid.uuid4().hex
@@ -240,11 +295,12 @@ class Store:
     def delete_many(self, keys: DataFrame, *order) -> int:
         return self._many(keys.select("*", F.lit(DELETION).cast("tinyint").alias("type"), F.lit(b"").alias("value")), order or ("key",))
 
-    def apply_many(self, rows: DataFrame, *order) -> int:
-        """Puts and deletions ``(key, type, value)`` together, in ``order``."""
-        return self._many(rows, order)
+    def apply_many(self, rows: DataFrame, *order, mark: tuple[str, int] | None = None) -> int:
+        """Puts and deletions ``(key, type, value)`` together, in ``order``.  ``mark``: a stream and the number of its batch,
+        which the same edit commits."""
+        return self._many(rows, order, mark)
 
-    def _many(self, rows: DataFrame, order) -> int:
+    def _many(self, rows: DataFrame, order, mark: tuple[str, int] | None = None) -> int:
         self._check()
         self._commit_buffer()
         base = self.version.last_sequence
@@ -259,11 +315,11 @@ class Store:
         if base + n > MAX_SEQUENCE:
             raise InvalidArgument("sequence numbers are used up")
         if n:
-            self._add_batch(batch, base + n, n)
+            self._add_batch(batch, base + n, n, mark)
         return base + n
 
-    def _add_batch(self, batch: DataFrame, last: int, n: int) -> None:
-        self._commit(Edit(last_sequence=last, added=self._write_run(batch, _LOG, n)))
+    def _add_batch(self, batch: DataFrame, last: int, n: int, mark: tuple[str, int] | None = None) -> None:
+        self._commit(Edit(last_sequence=last, marks=None if mark is None else dict([mark]), added=self._write_run(batch, _LOG, n)))
 
     # --- runs ---------------------------------------------------------------------------------------------------
 
@@ -336,7 +392,8 @@ class Store:
     # --- maintenance --------------------------------------------------------------------------------------------
 
     def flush(self) -> None:
-        """Log batches and buffer become one sorted level-0 run, with all versions and deletions."""
+        """Log batches and buffer become one sorted level-0 run, with all versions and deletions, in files of
+        ``max_file_size``."""
         self._check()
         self._commit_buffer()
         self._sort_log()
@@ -344,7 +401,7 @@ class Store:
     def _sort_log(self) -> None:
         batches = self.version.at(_LOG)
         if batches:
-            run = split(self._read(batches), sum(f.file_size for f in batches), 1 << 62)
+            run = split(self._read(batches), sum(f.file_size for f in batches), self.options.max_file_size)
             added = self._write_run(run, 0, sum(f.rows for f in batches))
             self._commit(Edit(log_number=max(f.number for f in batches) + 1, deleted=[(f.level, f.number) for f in batches], added=added))
 

@@ -1,7 +1,7 @@
 """Micro-batches of a stream into a store.
 
-Each micro-batch is one committed log batch.  Its id is kept beside it, so a batch that a restart delivers again is
-left out.  No watermark: the newest sequence number wins, however late a row is.
+Each micro-batch is one committed log batch.  Its id is in the edit that commits it, so a batch that a restart delivers
+again is left out, wherever the first delivery broke off.  No watermark: the newest sequence number wins, however late a row is.
 """
 
 from __future__ import annotations
@@ -16,13 +16,9 @@ def ingest(store: Store, stream: DataFrame, checkpoint: str, *order: str, flush_
     """``stream`` has key, type, value and the ``order`` columns; runs until stopped, or to the end of what there is."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        mark = f"INGESTED-{name}"
-        done = int(store._files.read(mark)) if store._files.exists(mark) else -1
-        if number <= done:
+        if number <= dict(store.version.marks).get(name, -1):
             return
-        store.apply_many(rows, *order)
-        store._files.write(f"{mark}.new", str(number))
-        store._files.swap(f"{mark}.new", mark)
+        store.apply_many(rows, *order, mark=(name, number))
         if number % flush_every == flush_every - 1:
             store.flush()
 
