@@ -45,6 +45,30 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, h string")
 
 
+def test_null_ids_and_clashing_columns(spark):
+    """Every operator on documents gives a row for each row, with null ids and columns of its own outputs' names."""
+    rows = [(None, "All rights reserved, idiot."), (None, None), (7, "cc by"), (7, "cc by"), (8, ""), (None, "word " * 3000)]
+    names = "score double, bands string, node string, fp string, row string, ids string, base string, labels string, spans string, predicted int, lang string, least string, said string"
+    clash = spark.createDataFrame([(i, t, *[None] * 13) for i, t in rows], f"doc_id long, text string, {names}").withColumn("lang", F.lit("en"))
+    bench = spark.createDataFrame([(1, "word " * 9), (None, "cc by"), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    train = F.lit(True)
+    outs = {
+        "licenses": licenses.report(licenses.scan(clash)),
+        "simhash": simhash.report(simhash.classes(clash)),
+        "decontaminate": decontaminate.report(decontaminate.hits(clash, bench)),
+        "bpe": bpe.digests(bpe.encode_decode(clash, queries.word_bpe_path())),
+        "quality": quality.score(clash, quality.learn(clash, labels, train)),
+        "toxicity": toxicity.score(clash, toxicity.learn(clash, labels, train)),
+        "langid": langid.identify(clash, train),
+        "near": near.classes(clash),
+    }
+    for name, df in outs.items():
+        got = df.collect()
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows), name
+    assert near.one_of_each(clash).count() == 4 and near.one_of_each(clash).columns == clash.columns
+
+
 @pytest.fixture(scope="module")
 def empty(docs):
     return docs.limit(0)
@@ -460,6 +484,83 @@ def test_networks_without_labels(module, docs, empty):
     assert module.score(docs, model, name="p").count() == len(TEXTS) and module.score(empty, model, name="p").count() == 0
 
 
+def test_quality_agrees_with_plain_convolution():
+    rng = np.random.default_rng(18)
+    net = quality.Network()
+    texts = ["", "a", "Hello, wörld! " * 3, "x" * 128, "y" * 124, "abc " * 100, "".join(rng.choice(list("abcdeé \n"), 700))]
+
+    def plain(text):
+        data = text.encode()
+        blocks = -(-(len(data) + quality.WIDTH) // quality.BLOCK)
+        data = data.ljust(blocks * quality.BLOCK + quality.WIDTH, b"\0")
+        r = [[max(0.0, sum(float(net.p["taps"][k][data[i + k]][f]) for k in range(quality.WIDTH))) for f in range(quality.FILTERS)] for i in range(blocks * quality.BLOCK)]
+        r = np.array(r).reshape(blocks, quality.BLOCK, quality.FILTERS)
+        logits = []
+        for b in range(max(1, blocks - 1)):
+            both = [r[b], r[min(b + 1, blocks - 1)]]
+            f = np.concatenate([np.maximum(both[0].max(0), both[1].max(0)), (both[0].mean(0) + both[1].mean(0)) / 2])
+            logits.append(np.maximum(f @ net.p["w1"] + net.p["b1"], 0) @ net.p["w2"] + net.p["b2"][0])
+        return 1 / (1 + np.exp(max(logits)))
+
+    got = quality.Model(net).scores([*texts, None])
+    assert got[0] == got[-1] == 0
+    assert got[1:-1] == pytest.approx([plain(t) for t in texts[1:]], abs=1e-4)
+
+
+def test_toxicity_agrees_with_plain_recurrence():
+    rng = np.random.default_rng(19)
+    net = toxicity.Network()
+    net.known = rng.random(toxicity.SLOTS + 1) < 0.7
+    net.known[toxicity.SLOTS] = False
+    net.p["e"][:-1] *= 10
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        used = [s for s in toxicity.slots([word])[0].tolist() if s < toxicity.SLOTS and net.known[s]]
+        return sum((p["e"][s] for s in used), np.zeros(toxicity.INPUT))
+
+    def plain(text):
+        found = [w for t in toxicity.words(text) for w in toxicity.pieces(t)]
+        best, h = -np.inf, toxicity.HIDDEN
+        for s in range(0, max(1, len(found) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if found else ():
+            x = [vector(w) for w in found[s : s + toxicity.WINDOW]]
+            sides = []
+            for side, order in (("f", x), ("b", x[::-1])):
+                state, states = np.zeros(h), []
+                for v in order:
+                    a, g = v @ p["x" + side] + p["c" + side], state @ p["h" + side]
+                    z, r = sig(a[:h] + g[:h]), sig(a[h : 2 * h] + g[h : 2 * h])
+                    state = (1 - z) * state + z * np.tanh(a[2 * h :] + r * g[2 * h :])
+                    states.append(state)
+                sides.append(states if side == "f" else states[::-1])
+            states = np.concatenate([np.array(sides[0]), np.array(sides[1])], axis=1)
+            a = np.exp(states @ p["v"])
+            best = max(best, (a / a.sum()) @ (states @ p["w"]) + p["b"][0])
+        return sig(best) if found else 0.0
+
+    vocabulary = ["idiot", "Größe", "«idiot»", "日本語の文章がここに長く続いていますとも", "a", "x" * 50, "naïve—word", "don't", "12"]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (1, 5, 31, 32, 33, 56, 57, 90)] + ["", "!!", "—", None]
+    assert toxicity.Model(net).scores(texts) == pytest.approx([plain(t) for t in texts], abs=1e-4)
+
+
+def test_words_of_any_script():
+    assert toxicity.pieces("«Idiot»—naïve".encode()) == ["idiot", "naïve"] and toxicity.pieces("no\u00a0gap".encode()) == ["no", "gap"]
+    long = toxicity.pieces(("日" * 40 + "本").encode())
+    assert all(len(w) <= toxicity.PIECE for w in long) and long[-1].endswith("本") and sum(map(len, long)) >= 41
+    found = toxicity.slots(["idiot", "idiots", "idiot"])
+    assert (found[0] == found[2]).all() and len(set(found[0]) & set(found[1])) > 5 and (found[0] == toxicity.SLOTS).sum() == toxicity.WIDE - 1 - 5 - 4 - 3
+
+
+def test_label_samples_take_one_row_an_id(spark):
+    from tidemark.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (3, None), (4, "d" * 50), (None, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 1), (4, 1), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
+    texts, y = labelled_sample(docs, labels, "toxic", F.lit(True), 10, 20)
+    assert sorted(zip(texts, y)) == [("a", 1), ("c", 0), ("c", 1)]
+
+
 def test_windows_cover_every_word():
     lengths = np.array([1, 32, 33, 56, 57, 500])
     doc, start, n = toxicity.windows(lengths)
@@ -771,7 +872,26 @@ def test_pipeline_stages(spark, tmp_path):
 def test_queries_run_over_the_smallest_table(spark):
     sf = "/root/testdata/sf0.001"
     documents = spark.read.parquet(f"{sf}/documents.parquet").count()
-    for name in ("op1_licenses", "op2_simhash", "op5_decontaminate", "op9_langid"):
+    for name in ("op1_licenses", "op2_simhash", "op5_decontaminate"):
         assert queries.QUERIES[name](spark, sf).count() == documents
+    kinds = {
+        "op6_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+        "op7_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+        "op8_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+        "op9_langid": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    }
+    for name, columns in kinds.items():
+        df = queries.QUERIES[name](spark, sf)
+        rows = df.collect()
+        assert columns.items() <= dict(df.dtypes).items() and len(rows) == documents
+        for r in rows if "held_out" in columns else ():
+            fold_of = zlib.crc32(str(r.doc_id).encode())
+            assert r.held_out == (fold_of % 5 == 0 if name == "op7_quality" else fold_of % 4 == 2) and 0 <= r.score <= 1
+            assert "predicted" not in columns or r.predicted == (r.score >= 0.3)
+    pages = queries.QUERIES["op3_url_filter"](spark, sf)
+    assert pages.count() == spark.read.parquet(f"{sf}/pages.parquet").count() and pages.where("verdict not in ('allow', 'block') or verdict is null or host is null").count() == 0
+    near = queries.QUERIES["op10_ann"](spark, sf)
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    assert near.count() == 20 * vectors.where("vec_id % 20 = 0").count() and dict(near.dtypes)["rank"] == "int" and ann.recall(vectors, near) >= 0.9
     assert queries.QUERIES["op4_chat"](spark, sf).where("conv_id = -1 and n_turns = 2").count() == 1
     json.dumps(sorted(queries.QUERIES))

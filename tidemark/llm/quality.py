@@ -46,6 +46,14 @@ class Bytes:
         self.doc_start = np.cumsum(chunks) - chunks  # first chunk of each document
         self.left = np.repeat(first, chunks) + np.arange(chunks.sum()) - np.repeat(self.doc_start, chunks)
         self.right = self.left + np.repeat(sizes > 1, chunks)
+        self.last = first + sizes - 1  # last block of each document
+
+    def read(self, chunk: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Places of a chunk, and the byte at each and those after it; past its document's end all is 0."""
+        places = np.concatenate([np.arange(k * BLOCK, (k + 1) * BLOCK) for k in (self.left[chunk], self.right[chunk])])
+        of = np.searchsorted(self.doc_start, chunk, side="right") - 1
+        end = (self.last[of] + 1) * BLOCK
+        return places, [np.where(places + k < end, self.flat[places + k], 0) for k in range(WIDTH)]
 
 
 class Network:
@@ -68,10 +76,12 @@ class Network:
 
     def features(self, x: Bytes) -> np.ndarray:
         """By chunk: largest and mean response of each filter."""
-        most, mean = [], []
+        most, mean, nothing = [], [], self.responses(np.zeros(WIDTH, np.uint8), 1)
         for s in range(0, x.n, BLOCK * 256):
             m = min(BLOCK * 256, x.n - s)
             r = self.responses(x.flat[s:], m).reshape(-1, BLOCK, FILTERS)
+            ends = x.last[np.searchsorted(x.last, s // BLOCK) : np.searchsorted(x.last, (s + m) // BLOCK)] - s // BLOCK
+            r[ends, BLOCK - WIDTH + 1 :] = nothing  # there the next document's bytes would be read
             most.append(r.max(axis=1))
             mean.append(r.mean(axis=1))
         most, mean = np.concatenate(most), np.concatenate(mean)
@@ -97,13 +107,13 @@ class Network:
         g = {"w2": h[at].T @ dz, "b2": dz.sum(keepdims=True), "w1": f[at].T @ dh, "b1": dh.sum(axis=0), "taps": np.zeros_like(p["taps"])}
         df = dh @ p["w1"].T
         for i, c in enumerate(at):
-            places = np.concatenate([np.arange(k * BLOCK, (k + 1) * BLOCK) for k in (x.left[c], x.right[c])])
-            r = sum(p["taps"][k][x.flat[places + k]] for k in range(WIDTH))
+            places, read = x.read(c)
+            r = sum(p["taps"][k][read[k]] for k in range(WIDTH))
             d = (r > 0) * (df[i, FILTERS : 2 * FILTERS] / len(places))
             top = r.argmax(axis=0)
             d[top, np.arange(FILTERS)] += df[i, :FILTERS] * (r[top, np.arange(FILTERS)] > 0)
             for k in range(WIDTH):
-                np.add.at(g["taps"][k], x.flat[places + k], d)
+                np.add.at(g["taps"][k], read[k], d)
         return g
 
 
