@@ -88,19 +88,22 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, v, h)`` of the rows that take part."""
+    """``(vec_id, v, h, g)`` of the rows that take part; ``h`` and ``g`` are 128 bits of hash, by which vectors are equal."""
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     valid = valid.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
-    return valid.withColumn("h", F.xxhash64("v"))
+    return valid.withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.reverse("v"), F.lit(1))})
 
 
-def entries(valid: DataFrame, top: int) -> DataFrame:
-    """Different vectors ``(h, v, key, ids)``, with the smallest ids of their rows."""
-    place = F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))
-    few = valid.withColumn("_place", place).where(F.col("_place") <= top + 1)
-    return few.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("key", F.xxhash64("h", F.col("ids")[0]))
+def entries(valid: DataFrame, top: int, every: int) -> DataFrame:
+    """Different vectors ``(h, g, v, key, ids, asked)``, with the smallest ids of their rows, and whether one is a query's.
+    Vectors are shuffled once, copies of a task as one."""
+    place = F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id"))
+    few = valid.select("h", "g", "vec_id").withColumn("_place", place).where(F.col("_place") <= top + 1)
+    few = few.groupBy("h", "g").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    one = valid.groupBy("h", "g").agg(F.first("v").alias("v"), F.max(F.col("vec_id") % every == 0).alias("asked"))
+    return one.join(few, ["h", "g"]).withColumn("key", F.xxhash64("h", "g"))
 
 
 def dealt(counts: np.ndarray, size: int, least: int) -> list[tuple[int, int]]:
@@ -132,9 +135,8 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, share: float
 
 
 def _search(valid: DataFrame, top: int, every: int, share: float) -> DataFrame:
-    different = checkpointed(entries(valid, top))
-    asked = valid.where(F.col("vec_id") % every == 0)
-    wanted = different.join(asked.select("h", "v").distinct(), ["h", "v"], "left_semi").select("key", "v")
+    different = checkpointed(entries(valid, top, every))
+    wanted = different.where("asked").select("key", "v")
     x = _matrix(different.orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS).select("v").toArrow().column(0))
     half = x.shape[1] // 2
     k = max(1, min(CENTROIDS, len(x) // 4))
@@ -206,7 +208,7 @@ def _search(valid: DataFrame, top: int, every: int, share: float) -> DataFrame:
     near = F.arrays_zip("scores", "ids", "own")
     zipped = F.transform(near, lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("vec_id"), x["own"].alias("own")))
     best = tops.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list(zipped))), 1, top + 1).alias("best"))
-    named = asked.select(F.col("vec_id").alias("query_id"), "h", "v").join(different.select("h", "v", "key"), ["h", "v"]).select("query_id", "key")
+    named = valid.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("h", "g").alias("key"))
     # A query's own row goes; of several with its id and vector the first.
     mine = F.array_position(F.transform("best", lambda x: x["own"] & (x["vec_id"] == F.col("query_id"))), True)
     others = F.filter("best", lambda x, i: i + 1 != F.col("_mine"))
