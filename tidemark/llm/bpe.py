@@ -40,8 +40,9 @@ from .common import text_slices
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Pieces longer than this are not remembered, and settle as they go.
 _LONG_PIECE = 64
-#: Pieces, and pairs of tokens, remembered in a worker; past this many the memory starts anew.
-_MEMORY = 250_000
+#: Pieces, and pairs of tokens, remembered in a worker.  Past this many pieces the memory starts anew, and those from before
+#: are taken over as they come again, until it is full once more.
+_MEMORY = 200_000
 #: Characters of a text that are read at once; a block ends at the next space.
 _BLOCK = 1 << 16
 #: Ids that are decoded at once.
@@ -223,13 +224,18 @@ class WordBpe:
         class Memory(dict):
             """White-space-free chunks and their ids as little-endian bytes."""
 
+            before: dict[str, bytes] = {}
+
             def __missing__(self, chunk: str) -> bytes:
                 end = chunk[-1]
                 if end in ".,!" and chunk[:-1].isalpha():
                     return self[chunk[:-1]] + self[end]
-                ids = tokenizer._chunk(chunk)
+                ids = self.before.get(chunk)
+                if ids is None:
+                    ids = tokenizer._chunk(chunk)
                 if len(chunk) <= _LONG_PIECE:
                     if len(self) >= _MEMORY:
+                        self.before = dict(self)
                         self.clear()
                     self[chunk] = ids
                 return ids
