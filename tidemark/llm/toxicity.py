@@ -48,7 +48,7 @@ PIECE = 16
 GRAMS = (3, 4, 5)
 WIDE = 1 + sum(PIECE + 3 - n for n in GRAMS)
 #: Tokens remembered in a worker, their longest, and windows computed at once.
-_MEMORY = 120_000
+_MEMORY = 60_000
 _LONG = 64
 _GROUP = 2_048
 
