@@ -221,3 +221,52 @@ def test_prune_and_overlap(spark):
     assert number(manifest.prune_point(files, "f")) == [1, 3]
     assert number(manifest.prune_range(files, "k", "z")) == [2]
     assert sorted(map(tuple, manifest.overlaps(files.where("level = 0"), files.where("level = 1")).collect())) == [(1, 3), (2, 3)]
+
+
+def test_deletions_find_their_ranges_without_a_join(spark):
+    from tidemark.plans import compact
+
+    rows = spark.range(2_000).select(F.format_string("k%05d", "id").cast("binary").alias("key"), F.col("id").alias("seq"), (F.col("id") % 2).cast("tinyint").alias("type"), F.lit(b"v").alias("value"))
+    ranges = [(f"k{i:05d}".encode(), f"k{i + 4:05d}".encode()) for i in range(0, 2_000, 20)]
+    out = compact.merged(rows, ranges)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(ranges) > compact.FEW_RANGES and "Join" not in plan
+    assert sorted(bytes(r.key) for r in out.collect()) == [f"k{i:05d}".encode() for i in range(2_000) if i % 2 or i % 20 <= 4]
+    same = compact.merged(rows, spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in ranges[:5]], "smallest_key binary, largest_key binary"))
+    assert same.count() == 1_000 + 5 * 3
+
+
+def test_as_of_each_with_a_hot_key(spark):
+    from tidemark.operators import resolve
+
+    log = [("hot", s, int(s % 5 > 0), f"v{s}") for s in range(0, 600, 2)] + [(f"k{s % 7}", s, 1, f"w{s}") for s in range(1, 60, 2)] + [("hot", 100, 1, "both"), ("hot", 100, 0, "")]
+    reads = [("hot", a) for a in (-1, 0, 1, 5, 99, 100, 101, 350, 10_000)] + [("k3", 30), ("none", 5), ("hot", 5)]
+    got = resolve.as_of_each(spark.createDataFrame(log, "key string, seq long, type byte, value string"), spark.createDataFrame(reads, "key string, as_of int"))
+    want = set()
+    for key, a in reads:
+        seen = sorted((s, t, v) for k, s, t, v in log if k == key and s <= a)
+        if seen and seen[-1][1]:
+            want.add((key, a, seen[-1][2]))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_ties_of_an_order_spread_over_parts(spark):
+    from tidemark.operators import mutate
+
+    rows = spark.range(4_000).select(F.lit(7).alias("at"), F.col("id").cast("string").alias("key"))
+    got = mutate.numbered(rows, 10, "at")
+    assert sorted(r.seq for r in got.collect()) == list(range(11, 4_011))
+    assert got.select(F.spark_partition_id().alias("p")).groupBy("p").count().where("count > 100").count() > 1
+
+
+def test_murmur3_of_many_keys_and_filters():
+    import random
+
+    from tidemark.functions import bloom
+
+    draw = random.Random(5)
+    keys = [draw.randbytes(n) for n in [*range(0, 30), *range(0, 30)]]
+    assert bloom.murmur3_many(keys).tolist() == [bloom.murmur3(k) for k in keys]
+    made = bloom.build([b"key:%d" % i for i in range(5_000)])
+    assert bloom.may_hold_many([b"key:%d" % i for i in range(5_000)], made).all()
+    assert bloom.may_hold_many([b"none:%d" % i for i in range(5_000)], made).mean() < 0.03

@@ -183,3 +183,82 @@ def test_bulk_order_decides(spark, tmp_path):
     with Store.open(spark, f"{tmp_path}/s") as s:
         s.apply_many(spark.range(100).select(F.lit("k").alias("key"), F.lit(1).cast("byte").alias("type"), F.col("id").cast("string").alias("value"), "id"), "id")
         assert s.get("k") == b"99"
+
+
+def test_flush_writes_files_of_bounded_size_in_parallel(spark, tmp_path):
+    with Store.open(spark, f"{tmp_path}/s", Options(max_file_size=30_000)) as s:
+        s.put_many(spark.range(6_000).select(F.format_string("k%06d", "id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("value")))
+        s.flush()
+        files = sorted(s.version.at(0), key=lambda f: f.smallest_key)
+        assert len(files) > 3 and s.version.runs(0) == 1 and all(a.largest_key < b.smallest_key for a, b in zip(files, files[1:]))
+        s.put("k000007", "new")
+        s.flush()
+        assert s.version.runs(0) == 2 and s.get("k000007") == b"new" and s.get("k005999") is not None
+
+
+def test_recovery_sorts_in_parallel(spark, tmp_path):
+    with Store.open(spark, f"{tmp_path}/s") as s:
+        s.put_many(spark.range(6_000).select(F.format_string("k%06d", "id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("value")))
+    with Store.open(spark, f"{tmp_path}/s", Options(max_file_size=30_000)) as s:
+        assert len(s.version.at(0)) > 3 and s.live().count() == 6_000
+
+
+def test_lookups_read_only_files_that_can_hold_a_key(spark, tmp_path):
+    with Store.open(spark, f"{tmp_path}/s", Options(max_file_size=20_000, max_level0_files=1)) as s:
+        s.put_many(spark.range(4_000).select(F.format_string("k%06d", "id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("value")))
+        s.maintain()
+        assert len(s.version.at(1)) > 4
+        snap = s.snapshot()
+
+        def files(*keys):
+            return len(snap._asked(spark.createDataFrame([(k,) for k in keys], "key string"))[1].inputFiles())
+
+        assert files("k000005") == 1 and files("k000005", "k000006", "k003999") == 2
+        assert files("a", "missing", "z") == 0 and files(*(f"k{i:06d}" for i in range(0, 4_000, 50))) == len(s.version.at(1))
+        plan = snap._asked(many(spark, [("k000005", "")]))[1]._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [In(key" in plan or "EqualTo(key" in plan
+        asked = spark.createDataFrame([("k000005",), ("missing",), ("k003999x",), (None,)], "key string")
+        assert {k and bytes(k): v is not None for k, v in snap.multi_get(asked).collect()} == {b"k000005": True, b"missing": False, b"k003999x": False, None: False}
+        assert [bytes(r[0]) for r in snap.contains(asked).collect()] == [b"k000005"]
+
+
+def test_cursor_pages_read_few_files(spark, tmp_path, monkeypatch):
+    from tidemark.store import Snapshot
+
+    read, live = [], Snapshot.live
+    monkeypatch.setattr(Snapshot, "live", lambda self, low=None, high=None: read.append(len(self.version.candidates(low, high))) or live(self, low, high))
+    with Store.open(spark, f"{tmp_path}/s", Options(max_file_size=20_000)) as s:
+        s.put_many(spark.range(4_000).select(F.format_string("k%06d", "id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("value")))
+        s.flush()
+        s.delete_many(spark.range(100, 3_000).select(F.format_string("k%06d", "id").alias("key")))
+        s.flush()
+        n = len(s.version.files)
+        assert n > 8
+        c = s.snapshot().cursor(page=20)
+        c.seek("k000050")
+        assert c.key() == b"k000050" and max(read) <= 4 < n
+        c.seek("k000099")
+        c.next()
+        assert c.key() == b"k003000"  # over all the deleted ones
+        c.prev()
+        assert c.key() == b"k000099"
+        read.clear()
+        c.seek_to_last()
+        assert c.key() == b"k003999" and max(read) <= 4
+        read.clear()
+        c.seek_to_last()  # from the block cache
+        assert not read and s.cache.total_charge() > 0
+
+
+def test_stream_marks_are_part_of_the_commit(spark, tmp_path):
+    """A batch that is delivered again after a crash right behind its commit is left out."""
+    source = tmp_path / "in"
+    spark.createDataFrame([("a", 1, "x", 1)], "key string, type byte, value string, at long").coalesce(1).write.parquet(str(source))
+    with Store.open(spark, f"{tmp_path}/s") as s:
+        stream = lambda: spark.readStream.schema("key string, type byte, value string, at long").parquet(str(source))
+        ingest(s, stream(), f"{tmp_path}/one", "at").awaitTermination()
+        s.put("a", "later")
+        s.flush()
+    with Store.open(spark, f"{tmp_path}/s") as s:
+        ingest(s, stream(), f"{tmp_path}/two", "at").awaitTermination()  # its own checkpoint is lost
+        assert s.get("a") == b"later" and dict(s.version.marks) == {"ingest": 0}
