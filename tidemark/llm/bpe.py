@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import alone, text_slices
 
 #: Unicode White_Space, as the tokenizer's regular expressions take \s.
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -42,7 +42,7 @@ _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u2
 _LONG_PIECE = 64
 #: Pieces, and pairs of tokens, remembered in a worker.  Past this many pieces the memory starts anew, and those from before
 #: are taken over as they come again, until it is full once more.
-_MEMORY = 200_000
+_MEMORY = 450_000
 #: Characters of a text that are read at once; a block ends at the next space.
 _BLOCK = 1 << 16
 #: Ids that are decoded at once.
@@ -375,6 +375,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for part, texts in text_slices(batches, text_col):
             ids = [bpe.encode(t) for t in texts]

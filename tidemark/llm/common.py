@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,6 +51,17 @@ def text_slices(
                 start, size = i + 1, 0
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def alone(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Called where a task of an operator begins, with what empties its caches in this worker: those of the other operators that
+    the worker has served before are emptied, so that a pipeline's stages don't add up."""
+    for other in [o for o in _caches if o != owner]:
+        _caches.pop(other)()
+    _caches[owner] = clear
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added until no column of ``df`` has the name."""
     taken = {c.lower() for c in df.columns}
@@ -93,14 +104,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     return [t for _, _, t in by], [y for _, y, _ in by]
 
 
-def appended(docs: DataFrame, text_col: str, name: str, values) -> DataFrame:
-    """``docs`` with a double column ``name``: ``values(texts)`` of bounded slices.  A column of that name is replaced."""
+def appended(docs: DataFrame, text_col: str, name: str, values, begin: Callable[[], None] = lambda: None) -> DataFrame:
+    """``docs`` with a double column ``name``: ``values(texts)`` of bounded slices.  A column of that name is replaced.
+    ``begin`` is called in each task first."""
     if name.lower() == text_col.lower():
         raise ValueError(f"{name} is the column of the texts")
     docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for part, texts in text_slices(batches, text_col, max_bytes=2 << 20):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values(texts), pa.float64())], names=[*part.schema.names, name])
 

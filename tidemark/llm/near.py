@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from . import simhash
-from .common import checkpointed, free_name, text_slices
+from .common import alone, checkpointed, free_name, text_slices
 from .simhash import components
 
 SHINGLE = 5
@@ -109,6 +109,7 @@ def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     it stands, ``node`` one of its words, ``fp`` its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("near")
         known = _Hashes()
         for part, texts in text_slices(batches, text_col):
             nodes, fps, sizes, keys = [], [], [], []

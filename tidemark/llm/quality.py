@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, labelled_sample
+from .common import alone, appended, labelled_sample
 from .nets import Adam, class_weights, sigmoid
 
 BLOCK = 128
@@ -156,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the column ``name``; a column of that name in ``docs`` is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return appended(docs, text_col, name, lambda texts: held.value.scores(texts))
+    return appended(docs, text_col, name, lambda texts: held.value.scores(texts), lambda: alone("quality"))
 
 
 def predicted(threshold: float = 0.3) -> Column:

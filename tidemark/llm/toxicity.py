@@ -9,7 +9,8 @@ into one logit, and the largest of all windows is the document's.  The score is
 Learning sees at most ``PER_CLASS`` labelled rows of either class and texts of at most ``MAX_CHARS`` characters; the
 driver holds those.  Words and grams that fewer than ``SUPPORT`` of these rows have are left out.  Vectors begin with the
 log odds of what they stand for; the first third of the updates looks at the window of each row with the largest sum of
-these, the others at the window with the largest logit.  Vectors are left out at random while it learns, and decay.
+these, the others at the window with the largest logit.  Vectors are left out at random while it learns, and decay; rows of
+label 0 also lose words as a whole, so that a text of unknown words is nothing toxic.
 Scoring is a map over the rows, whole texts, in groups of windows of bounded size.
 
 Defined results: null and empty texts, and texts without a word, have score 0; with one class to learn from,
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, labelled_sample
+from .common import alone, appended, labelled_sample
 from .nets import Adam, class_weights, sigmoid
 
 WINDOW = 32
@@ -231,9 +232,9 @@ class Network:
 class Model:
     def __init__(self, network: Network | None, constant: float = 0.5):
         self.network, self.constant = network, constant
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.lexicon, self.table, self.filled = Lexicon(), np.zeros((2, 0, 3 * HIDDEN), np.float32), 0
 
     def __getstate__(self):
@@ -245,7 +246,7 @@ class Model:
     def _read(self, docs: list[list[bytes]]) -> list[np.ndarray]:
         """Numbers of all words, whose gate inputs are then in the table."""
         if len(self.lexicon.number) > _MEMORY or len(self.lexicon.tokens) > 2 * _MEMORY:
-            self._forget()
+            self.forget()
         numbers = [self.lexicon.read(d) for d in docs]
         new = self.lexicon.take_new()
         if len(new):
@@ -334,6 +335,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             at = np.minimum(start[top][:, None] + np.arange(int(length[top].max())), len(flat) - 1)
             read_rows = rows[flat[at]]
             read_rows[rng.random(read_rows.shape) < DROP] = SLOTS
+            # Unknown words say nothing: in a quarter of the rows of label 0 a random share of all words becomes such.
+            share = np.where((y[some] == 0) & (rng.random(len(some)) < 0.25), rng.random(len(some)), 0)
+            read_rows[rng.random(at.shape) < share[:, None]] = SLOTS
             adam.update(network.gradients(read_rows, length[top], y[some], weight[some]))
             network.p["e"] *= 1 - DECAY
     return Model(network)
@@ -346,7 +350,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the column ``name``; a column of that name in ``docs`` is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return appended(docs, text_col, name, lambda texts: held.value.scores(texts))
+    return appended(docs, text_col, name, lambda texts: held.value.scores(texts), lambda: alone("toxicity", held.value.forget))
 
 
 def predicted(threshold: float = 0.3) -> Column:
