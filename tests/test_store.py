@@ -262,3 +262,59 @@ def test_stream_marks_are_part_of_the_commit(spark, tmp_path):
     with Store.open(spark, f"{tmp_path}/s") as s:
         ingest(s, stream(), f"{tmp_path}/two", "at").awaitTermination()  # its own checkpoint is lost
         assert s.get("a") == b"later" and dict(s.version.marks) == {"ingest": 0}
+
+
+def test_files_of_a_run_stop_following_small_sizes(spark, tmp_path, monkeypatch):
+    from tidemark.plans import compact
+
+    monkeypatch.setattr(compact, "RUN_FILES", 16, raising=False)
+    for n in (2_000, 8_000):
+        with Store.open(spark, f"{tmp_path}/s{n}", Options(max_file_size=2_000)) as s:
+            s.put_many(spark.range(n).select(F.format_string("k%06d", "id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("value")))
+            s.flush()
+            files = s.version.at(0)
+            assert 8 < len(files) <= 17 and sum(f.rows for f in files) == n
+            assert rows(s.multi_get(many(spark, [("k000000", ""), (f"k{n - 1:06d}", "")]))) and s.live().count() == n
+
+
+def test_large_runs_have_more_files_again():
+    from tidemark.plans.compact import LARGE_FILE, RUN_FILES, run_files
+
+    assert [run_files(x, 2048) for x in (0, 1, 2048, 2049, 2048 * RUN_FILES)] == [1, 1, 1, 2, RUN_FILES]
+    assert run_files(LARGE_FILE * RUN_FILES, 2048) == RUN_FILES and run_files(10 * LARGE_FILE * RUN_FILES, 2048) == 10 * RUN_FILES
+    assert run_files(10 * LARGE_FILE * RUN_FILES, 2 * LARGE_FILE) == 5 * RUN_FILES
+
+
+def test_bloom_filters_have_the_size_of_a_file(spark, tmp_path):
+    """Not that of the run: files times rows."""
+
+    def bytes_of(bits):
+        with Store.open(spark, f"{tmp_path}/s{bits}", Options(max_file_size=8_000, bloom_bits_per_key=bits)) as s:
+            s.put_many(spark.range(8_000).select(F.format_string("k%06d", "id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("value")))
+            batch = sum(f.file_size for f in s.version.files)
+            s.flush()
+            assert len(s.version.at(0)) > 8
+            return batch, sum(f.file_size for f in s.version.at(0))
+
+    for filtered, plain in zip(bytes_of(10), bytes_of(0)):
+        assert plain < filtered < plain + 8 * 8_000
+
+
+def test_lookups_bisect_flushed_runs(monkeypatch):
+    from random import Random
+
+    from tidemark.plans.manifest import Edit, FileMeta, Version
+
+    made, r = [], Random(7)
+    for level, folder in ((-1, "a"), (0, "b"), (0, "c"), (1, "d"), (1, "e")):
+        for i in range(40):
+            low, span = (r.randrange(4_000), 900) if level < 0 else (100 * i + 50 * (folder in "ce") + 2_000 * 2 * (folder == "e"), 45)
+            made.append(FileMeta(level, len(made) + 1, 1, b"%06d" % low, b"%06d" % (low + span), f"runs/{folder}/{i}"))
+    version = Version().apply(Edit(added=made))
+    looked, overlaps = [], FileMeta.overlaps
+    monkeypatch.setattr(FileMeta, "overlaps", lambda f, *x: looked.append(f.level) or overlaps(f, *x))
+    for _ in range(300):
+        low, high = sorted(b"%06d" % r.randrange(9_000) for _ in range(2))
+        for a, b in ((low, low), (low, high), (None, high), (low, None), (None, None)):
+            assert {f.number for f in version.candidates(a, b)} == {f.number for f in made if overlaps(f, a, b)}
+    assert set(looked) == {-1}  # only log batches, whose files overlap, are looked at one by one

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Options:
     """``write_buffer_size``: bytes of single puts held before they become a log batch.  ``sync``: every call commits.
-    ``max_file_size``: bytes of a compaction output; the default suits small stores, large ones want 128 MB or more.
+    ``max_file_size``: bytes of a file of a sorted run, as long as the run has at most ``compact.RUN_FILES`` of them; files of
+    larger runs grow up to ``compact.LARGE_FILE``.  The default suits small stores, large ones want 128 MB or more.
     ``block_size`` and ``block_cache_capacity_bytes`` are kept for callers; Parquet's pages and the page cache
     take their place."""
 

@@ -17,6 +17,9 @@ from .manifest import FileMeta, Version
 
 #: Ranges up to this number are a condition; more are searched by bisection.
 FEW_RANGES = 32
+#: Files of a run up to this number have ``max_file_size``; a larger run has larger files, up to ``LARGE_FILE``, and only then more.
+RUN_FILES = 256
+LARGE_FILE = 128 << 20
 
 
 def level_limit(level: int) -> int:
@@ -86,9 +89,16 @@ def _as_bytes(x) -> bytes:
     return x.encode() if isinstance(x, str) else bytes(x)
 
 
+def run_files(total_bytes: int, max_file_size: int) -> int:
+    """Files of a run.  Each costs a task, an open file and a line of the manifest whatever it holds, so their number doesn't
+    follow the data while files are small."""
+    size = max(max_file_size, min(-(-total_bytes // RUN_FILES), LARGE_FILE))
+    return max(1, -(-total_bytes // size))
+
+
 def split(rows: DataFrame, total_bytes: int, max_file_size: int) -> DataFrame:
-    """Rows dealt out by key range into files of about ``max_file_size``, sorted: ranges of different files are disjoint."""
-    n = max(1, -(-total_bytes // max_file_size))
+    """Rows dealt out by key range into :func:`run_files` files, sorted: ranges of different files are disjoint."""
+    n = run_files(total_bytes, max_file_size)
     dealt = rows.repartitionByRange(n, "key") if n > 1 else rows.coalesce(1)
     return dealt.sortWithinPartitions(F.asc("key"), F.desc("seq"), F.desc("type"))
 

@@ -129,16 +129,24 @@ class Version:
 
     @cached_property
     def _levels(self) -> tuple[list[FileMeta], list[tuple[list[FileMeta], list[bytes], list[bytes]]]]:
-        """Files that may overlap; and the others by level, in key order with their bounds."""
-        deep = [self.at(k) for k in range(1, LEVELS)]
-        return [f for f in self.files if f.level < 1], [(x, [f.smallest_key for f in x], [f.largest_key for f in x]) for x in deep if x]
+        """Files that may overlap others of their run; and the other runs, a level or a flush, in key order with their bounds."""
+        runs: dict = {}
+        for f in self.files:
+            runs.setdefault(f.level if f.level >= 1 else (f.level, f.path.rpartition("/")[0] or f.number), []).append(f)
+        mixed, sorted_runs = [], []
+        for run in (sorted(x, key=lambda f: f.smallest_key) for x in runs.values()):
+            if all(a.largest_key < b.smallest_key for a, b in zip(run, run[1:])):
+                sorted_runs.append((run, [f.smallest_key for f in run], [f.largest_key for f in run]))
+            else:
+                mixed += run
+        return mixed, sorted_runs
 
     def candidates(self, low: bytes | None, high: bytes | None) -> list[FileMeta]:
-        """Files that can hold keys of [low, high]: by a look at each where files may overlap, by bisection in the levels
-        below."""
-        shallow, deep = self._levels
-        found = [f for f in shallow if f.overlaps(low, high)]
-        for files, smallest, largest in deep:
+        """Files that can hold keys of [low, high]: by a look at each where files may overlap, as in log batches, by bisection in
+        sorted runs."""
+        mixed, sorted_runs = self._levels
+        found = [f for f in mixed if f.overlaps(low, high)]
+        for files, smallest, largest in sorted_runs:
             first = 0 if low is None else bisect_left(largest, low)
             found += files[first : len(files) if high is None else bisect_right(smallest, high)]
         return found

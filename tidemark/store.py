@@ -29,7 +29,7 @@ from .functions.cache import BlockCache
 from .operators import lookup, mutate, scan
 from .operators.resolve import latest
 from .options import Options
-from .plans.compact import Compaction, merged, pick, split
+from .plans.compact import Compaction, merged, pick, run_files, split
 from .plans.manifest import COMPARATOR, Edit, FileMeta, Version, apart, replay
 from .schema import DELETION, MAX_SEQUENCE, MUTATION, VALUE
 from .sources.files import Files
@@ -309,26 +309,27 @@ class Store:
             F.col("key").cast("binary").alias("key"), "seq", F.col("type").cast("tinyint").alias("type"),
             F.when(F.col("type") == DELETION, F.lit(b"")).otherwise(F.coalesce(F.col("value").cast("binary"), F.lit(b""))).alias("value"),
         )
-        if batch.where("key is null").limit(1).count():
+        n, without = batch.agg(F.count("*"), F.count_if(F.col("key").isNull())).first()
+        if without:
             raise InvalidArgument("a key is null")
-        n = batch.count()
         if base + n > MAX_SEQUENCE:
             raise InvalidArgument("sequence numbers are used up")
         if n:
-            self._add_batch(batch, base + n, n, mark)
+            self._add_batch(batch, base + n, n, int(self.spark.conf.get("spark.sql.shuffle.partitions")), mark)
         return base + n
 
-    def _add_batch(self, batch: DataFrame, last: int, n: int, mark: tuple[str, int] | None = None) -> None:
-        self._commit(Edit(last_sequence=last, marks=None if mark is None else dict([mark]), added=self._write_run(batch, _LOG, n)))
+    def _add_batch(self, batch: DataFrame, last: int, n: int, files: int = 1, mark: tuple[str, int] | None = None) -> None:
+        self._commit(Edit(last_sequence=last, marks=None if mark is None else dict([mark]), added=self._write_run(batch, _LOG, n, files)))
 
     # --- runs ---------------------------------------------------------------------------------------------------
 
-    def _write_run(self, rows: DataFrame, level: int, n: int) -> list[FileMeta]:
-        """Writes one folder; each part file in it is a file of the version.  ``n``: rows at most."""
+    def _write_run(self, rows: DataFrame, level: int, n: int, files: int) -> list[FileMeta]:
+        """Writes one folder; each part file in it is a file of the version.  ``n``: rows at most, in about ``files`` files: a Bloom
+        filter has the size for twice a file's share, whatever the run holds."""
         folder = f"runs/{self.version.next_file:06d}-{uuid.uuid4().hex[:8]}"
         writer = rows.write.option("parquet.page.write-checksum.enabled", "true")
         if self.options.bloom_bits_per_key > 0:
-            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(min(max(n, 64), 1_000_000))).option(
+            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(min(max(-(-2 * n // files), 64), 1_000_000))).option(
                 "parquet.bloom.filter.fpp#key", "0.01"
             )
         writer.parquet(f"{self.path}/{folder}")
@@ -401,8 +402,8 @@ class Store:
     def _sort_log(self) -> None:
         batches = self.version.at(_LOG)
         if batches:
-            run = split(self._read(batches), sum(f.file_size for f in batches), self.options.max_file_size)
-            added = self._write_run(run, 0, sum(f.rows for f in batches))
+            total, most = sum(f.file_size for f in batches), self.options.max_file_size
+            added = self._write_run(split(self._read(batches), total, most), 0, sum(f.rows for f in batches), run_files(total, most))
             self._commit(Edit(log_number=max(f.number for f in batches) + 1, deleted=[(f.level, f.number) for f in batches], added=added))
 
     def compact_once(self) -> Compaction | None:
@@ -419,8 +420,8 @@ class Store:
         chosen = {f.number for f in plan.files}
         ranges += [(f.smallest_key, f.largest_key) for f in self.version.files if f.level in (plan.level, plan.level + 1) and f.number not in chosen and plan.level]
         rows = merged(self._read(list(plan.files)), ranges)
-        total = sum(f.file_size for f in plan.files)
-        added = self._write_run(split(rows, total, self.options.max_file_size), plan.level + 1, sum(f.rows for f in plan.files))
+        total, most = sum(f.file_size for f in plan.files), self.options.max_file_size
+        added = self._write_run(split(rows, total, most), plan.level + 1, sum(f.rows for f in plan.files), run_files(total, most))
         self._commit(Edit(deleted=[(f.level, f.number) for f in plan.files], added=added, kept_from=self.version.last_sequence))
 
     def maintain(self) -> int:
