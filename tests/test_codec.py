@@ -1,5 +1,6 @@
 """Byte-level logs, Bloom filters, the block cache."""
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 
@@ -67,6 +68,31 @@ def test_read_logs(spark, tmp_path):
         wal.read_logs(spark, str(tmp_path)).collect()
 
 
+def test_rows_of_small_files_leave_together(monkeypatch):
+    class Contents:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    def batch(contents):
+        return pa.RecordBatch.from_arrays([pa.array([f"p{i}" for i in range(len(contents))]), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    run = wal.decode(Contents())
+    made = list(run(iter([batch([wal.frame(7, 1, b"k", b"v")] * 3_000), batch([]), batch([None, b"", THREE])])))
+    assert [b.num_rows for b in made] == [3_003]
+    assert made[0].slice(2_999).to_pydict() == {
+        "path": ["p2999", "p2", "p2", "p2"], "place": [0, 0, 1, 2], "key": [b"k", b"alpha", b"bravo", b"charlie"],
+        "seq": [7, 1, 2, 3], "type": [1, 1, 1, 1], "value": [b"v", b"1", b"2", b"3"]}
+    assert [b.num_rows for b in run(iter([batch([wal.frame(7, 1, b"k", b"v")] * 5_000)]))] == [4_096, 904]
+    monkeypatch.setattr(wal, "BATCH_BYTES", 1_000)
+    assert [b.num_rows for b in run(iter([batch([wal.frame(7, 1, b"k", b"v" * 499)] * 5)]))] == [2, 2, 1]
+    assert list(run(iter([]))) == []
+    with pytest.raises(Corruption):
+        list(run(iter([batch([THREE, THREE[:20] + b"x" + THREE[21:]])])))
+
+
 def test_murmur3_published_values():
     assert bloom.murmur3(b"", 0) == 0 and bloom.murmur3(b"", 1) == 0x514E28B7
     assert bloom.murmur3(b"abc", 0) == 0xB3DD93FA and bloom.murmur3(b"Hello, world!", 1234) == 0xFAF6CDB3

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from ..errors import Corruption, InvalidArgument
 
 MAX_RECORD = 64 << 20
+#: Decoded rows, and bytes of keys and values, at which a batch is passed on.
+BATCH_ROWS = 4096
+BATCH_BYTES = 16 << 20
 _HEAD = struct.Struct("<II")
 _FIXED = struct.Struct("<BQI")
 
@@ -76,20 +79,23 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode(contents: DataFrame) -> DataFrame:
-    """``(path, content)`` to ``(path, place, key, seq, type, value)``; place counts a file's records."""
+    """``(path, content)`` to ``(path, place, key, seq, type, value)``; place counts a file's records.  Rows of many small files
+    leave together: a batch of its own for each costs far more than its records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "place", "key", "seq", "type", "value"]
         kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int8(), pa.binary()]
+        rows, size = [], 0
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
-                for k, (seq, kind, key, value) in enumerate(records(content or b"")):
+            for path, content in zip(batch.column(0), batch.column(1)):
+                path = path.as_py()
+                for k, (seq, kind, key, value) in enumerate(records(content.as_py() or b"")):
                     rows.append((path, k, key, seq, kind, value))
-                    if len(rows) == 4096:
+                    size += len(key) + len(value)
+                    if len(rows) == BATCH_ROWS or size >= BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return contents.select("path", "content").mapInArrow(run, "path string, place long, key binary, seq long, type byte, value binary")
