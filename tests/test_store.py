@@ -318,3 +318,47 @@ def test_lookups_bisect_flushed_runs(monkeypatch):
         for a, b in ((low, low), (low, high), (None, high), (low, None), (None, None)):
             assert {f.number for f in version.candidates(a, b)} == {f.number for f in made if overlaps(f, a, b)}
     assert set(looked) == {-1}  # only log batches, whose files overlap, are looked at one by one
+
+
+def test_cursor_reads_ahead(spark, tmp_path, monkeypatch):
+    """A walk over a file takes few passes over it, however small its first page is."""
+    from tidemark.store import Snapshot
+
+    read, live = [], Snapshot.live
+    monkeypatch.setattr(Snapshot, "live", lambda self, low=None, high=None: read.append(0) or live(self, low, high))
+    keys = [b"k%04d" % i for i in range(600)]
+    with Store.open(spark, f"{tmp_path}/s") as s:
+        s.put_many(many(spark, [(k.decode(), "v") for k in keys]))
+        s.flush()
+        c = s.snapshot().cursor(page=4)
+        for start, step, want in ((c.seek_to_first, c.next, keys), (c.seek_to_last, c.prev, keys[::-1])):
+            read.clear()
+            start()
+            assert len(c._rows) == 4  # a seek reads no more than asked
+            seen = []
+            while c.valid():
+                seen.append(c.key())
+                step()
+            assert seen == want and len(read) <= 10
+        c.seek("k0300")
+        for _ in range(10):
+            c.next()
+        for _ in range(10):
+            c.prev()
+        assert c.key() == b"k0300"
+
+
+def test_cursor_reads_ahead_within_the_block_cache(spark, tmp_path):
+    with Store.open(spark, f"{tmp_path}/s", Options(block_cache_capacity_bytes=8_000)) as s:
+        s.put_many(many(spark, [(f"k{i:03d}", "v" * (10 if i < 40 else 500)) for i in range(80)]))
+        s.flush()
+        c = s.snapshot().cursor(page=4)
+        c.seek_to_first()
+        seen, pages = 0, []
+        while c.valid():
+            if not pages or pages[-1] is not c._rows:
+                pages.append(c._rows)
+            seen += 1
+            c.next()
+        assert seen == 80
+        assert [len(p) for p in pages] == [4, 8, 16, 32, 16, 4]  # 40 entries of 78 bytes, then 568 each: back to what fits

@@ -35,6 +35,8 @@ from .schema import DELETION, MAX_SEQUENCE, MUTATION, VALUE
 from .sources.files import Files
 
 _LOG = -1
+#: Most rows that a cursor reads ahead.
+READ_AHEAD = 1 << 16
 
 
 def _bytes(x) -> bytes:
@@ -122,28 +124,39 @@ class Snapshot:
 
 
 class Cursor:
-    """Positions over a snapshot's live rows in key order.  It reads pages of ``page`` rows, and for one page only the files
-    of as many key ranges, cut where files begin, as it takes to fill it.  Pages are kept in the store's block cache."""
+    """Positions over a snapshot's live rows in key order.  It reads ``page`` rows, and as it goes on in one direction twice as
+    many each time, up to ``READ_AHEAD`` and half the block cache: to read a page takes a pass over a file, so pages of one size
+    would take a walk more passes the larger its files are.  For one page it reads only the files of as many key ranges, cut
+    where files begin, as it takes to fill it.  Pages are kept in the store's block cache."""
 
     def __init__(self, snapshot: Snapshot, page: int):
         self._snapshot, self._size = snapshot, page
         self._rows: list = []
-        self._at = 0
-
-    def _load(self, low: bytes | None = None, high: bytes | None = None, descending: bool = False) -> None:
+        self._at, self._ahead, self._down = 0, page, False
+
+    def _further(self) -> int:
+        """Rows of the page that goes on from the one that is read."""
+        room, size = self._snapshot._store.options.block_cache_capacity_bytes // 2, _charge(self._rows)
+        if size > room:
+            return max(self._size, self._ahead // 2)
+        return self._ahead if 2 * size > room else max(self._size, min(2 * self._ahead, READ_AHEAD))
+
+    def _load(self, low: bytes | None = None, high: bytes | None = None, descending: bool = False, on: bool = False) -> None:
+        self._ahead = self._further() if on and descending == self._down else self._size
+        self._down = descending
         cache, version = self._snapshot._store.cache, self._snapshot.version
-        name = (tuple(f.path for f in version.candidates(low, high)), self._snapshot.sequence, self._size), (low, high, descending)
+        name = (tuple(f.path for f in version.candidates(low, high)), self._snapshot.sequence, self._ahead), (low, high, descending)
         self._rows = cache.lookup(*name)
         if self._rows is None:
             self._rows, order = [], F.desc("key") if descending else F.asc("key")
             for a, b in _stretches(version.boundaries(low, high), low, high, descending):
-                rows = self._snapshot.live(a, b).orderBy(order).limit(self._size - len(self._rows)).collect()
+                rows = self._snapshot.live(a, b).orderBy(order).limit(self._ahead - len(self._rows)).collect()
                 self._rows += [(bytes(r["key"]), bytes(r["value"])) for r in rows]
-                if len(self._rows) >= self._size:
+                if len(self._rows) >= self._ahead:
                     break
             if descending:
                 self._rows.reverse()
-            cache.insert(*name, self._rows, sum(len(k) + len(v) + 64 for k, v in self._rows))
+            cache.insert(*name, self._rows, _charge(self._rows))
         self._at = len(self._rows) - 1 if descending else 0
 
     def valid(self) -> bool:
@@ -176,13 +189,17 @@ class Cursor:
         key = self._row()[0]
         self._at += 1
         if self._at == len(self._rows):
-            self._load(low=key + b"\0")
+            self._load(low=key + b"\0", on=True)
 
     def prev(self) -> None:
         key = self._row()[0]
         self._at -= 1
         if self._at < 0:
-            self._load(high=key, descending=True)
+            self._load(high=key, descending=True, on=True)
+
+
+def _charge(rows: list[tuple[bytes, bytes]]) -> int:
+    return sum(len(k) + len(v) + 64 for k, v in rows)
 
 
 def _stretches(cuts: list[bytes], low: bytes | None, high: bytes | None, descending: bool) -> Iterator[tuple[bytes | None, bytes | None]]:
